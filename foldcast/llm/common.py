@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,11 @@ class Workspace:
         for name in names:
             _delete(self.spark, self.path(name))
 
+    def release(self) -> None:
+        """Let the driver forget plans that are done with, so that their shuffle files go before the next stage writes its own."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         try:
             _delete(self.spark, self.root)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, simhash, substring
 
 
 def queries() -> dict:
-    return {"op8_bpe": bpe.op8}
+    return {"op3_substring_dedup": substring.op3, "op8_bpe": bpe.op8, "op9_simhash": simhash.op9}
 
 
 def oracle_sql() -> dict[str, str]:
