@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash, substring
+from . import bpe, language, lines, media, mixing, simhash, substring, topk, toxicity
 
 
 def queries() -> dict:
-    return {"op3_substring_dedup": substring.op3, "op8_bpe": bpe.op8, "op9_simhash": simhash.op9}
+    return {
+        "op1_line_dedup": lines.op1,
+        "op2_media": media.op2,
+        "op3_substring_dedup": substring.op3,
+        "op4_mixing": mixing.op4,
+        "op5_toxicity": toxicity.op5,
+        "op7_topk": topk.op7,
+        "op8_bpe": bpe.op8,
+        "op9_simhash": simhash.op9,
+        "op10_language": language.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": lines.OP1_SQL, "op4_mixing": mixing.OP4_SQL, "op7_topk": topk.OP7_SQL}
