@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, lines, media, mixing, simhash, substring, topk, toxicity
+from . import bpe, language, lines, media, mixing, simhash, substring, suffix, topk, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_substring_dedup": substring.op3,
         "op4_mixing": mixing.op4,
         "op5_toxicity": toxicity.op5,
+        "op6_suffix_dedup": suffix.op6,
         "op7_topk": topk.op7,
         "op8_bpe": bpe.op8,
         "op9_simhash": simhash.op9,
