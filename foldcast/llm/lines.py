@@ -33,7 +33,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     An empty table gives an empty result.
 
     Windows are pre-aggregated before they are shuffled; occurrences meet the first one in a join between two shuffled
-    scans, which adaptive execution splits where a window is very common.
+    scans, which adaptive execution splits where a window is very common. The join of the texts is a merge join at every
+    size, so that what it costs follows the input.
     """
     ws = Workspace(docs.sparkSession, "lines")
     base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
@@ -46,7 +47,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ws.release()
     text, n = F.col(text_col).cast("string"), F.size("__lines")
     parts = docs.drop("n_lines", "n_removed").withColumn("__d", F.col(id_col).cast("long")).withColumn("__k", F.xxhash64(text))
-    joined = parts.join(covered.select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.col("at").alias("__at")), ["__d", "__k"], "left").withColumn("__lines", F.split(text, "\n"))
+    joined = parts.join(covered.select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.col("at").alias("__at")).hint("merge"), ["__d", "__k"], "left").withColumn("__lines", F.split(text, "\n"))
     gone = F.flatten(F.transform("__at", lambda p: F.sequence(p, p + WINDOW - 1)))
     kept = F.array_except(F.sequence(F.lit(0), n - 1), gone)
     out = joined.withColumn("__kept", F.when(F.col("__at").isNotNull(), kept))
