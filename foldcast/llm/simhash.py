@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its near-duplicate component, and rows without an id; columns as they were."""
     found = near_duplicates(docs, id_col, text_col, words, radius).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(found, docs[id_col] == found["__gone"], "left_anti")
+    return docs.join(found.hint("merge"), docs[id_col] == found["__gone"], "left_anti")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
