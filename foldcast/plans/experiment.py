@@ -13,7 +13,7 @@ from ..sources import sinks, tables
 
 log = logging.getLogger(__name__)
 #: The tickers of the ETF selection.
-ETFS = ("XLF", "XLB", "XLK", "XLV", "XLI", "XLU", "XLY", "XLP", "XLE", "IYR", "VOX", "SPY", "QQQ", "DIA", "IWM")
+ETFS = ("SPY", "XLY", "XLP", "XLE", "XLF", "XLV", "XLI", "XLB", "XLK", "XLU", "EWH", "EWJ", "EWQ", "EWS", "EWU")
 
 
 @dataclass
@@ -71,7 +71,7 @@ def prepare(spark: SparkSession, config: Config) -> tuple[DataFrame, DataFrame |
     if config.assets == "ETF":
         chosen = panel.named_series(every, list(ETFS))
     elif config.assets == "TOP20":
-        chosen = panel.first_series(every, 20)
+        chosen = panel.first_series(every, 20, "place")
     else:
         chosen = panel.named_series(every, list(config.assets))
     assets = panel.with_t(chosen)
@@ -84,9 +84,9 @@ def prepare(spark: SparkSession, config: Config) -> tuple[DataFrame, DataFrame |
     days = assets.select("t", "date").distinct()
     confounders = None
     if config.confounder_folder is not None and (files := tables.source_files(config.confounder_folder, **config.use)):
-        raw = tables.read_confounders(spark, files)
+        covid = set(tables.source_files(config.confounder_folder, covid=True))
+        raw = tables.read_confounders(spark, files, until={p: config.covid_until for p in files if p in covid})
         if raw is not None:
-            raw = panel.until(raw, config.covid_until).unionByName(raw.filter(F.col("date") > F.to_date(F.lit(config.covid_until))).filter(~F.col("series").startswith("COVID")))
             filled = panel.interpolate(raw, config.interpolation)
             confounders = panel.require_dates(filled, assets).join(days, "date").select("t", "date", "series", "value")
     bench = every.filter(F.col("series") == config.benchmark).join(days, "date").select("t", "value")

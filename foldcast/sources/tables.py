@@ -21,18 +21,21 @@ def header_date(name):
 
 
 def read_returns(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a row a ticker and a column a trading date, as a long panel (date, series, value)."""
+    """A CSV with a row a ticker and a column a trading date, as a long panel (date, series, value, place).
+
+    place rises in the order of the tickers in the file.
+    """
     raw = spark.read.csv(path, header=True, inferSchema=False)
     days = [c for c in raw.columns if c != "ticker"]
-    long = raw.unpivot("ticker", days, "header", "text")
-    return nan_to_null(long.select(header_date("header").alias("date"), F.col("ticker").alias("series"), F.col("text").try_cast("double").alias("value")))
+    long = raw.withColumn("place", F.monotonically_increasing_id()).unpivot(["ticker", "place"], days, "header", "text")
+    return nan_to_null(long.select(header_date("header").alias("date"), F.col("ticker").alias("series"), F.col("text").try_cast("double").alias("value"), "place"))
 
 
-def read_confounders(spark: SparkSession, paths: list[str], on_missing: str = "skip") -> DataFrame | None:
+def read_confounders(spark: SparkSession, paths: list[str], on_missing: str = "skip", until: dict[str, str] | None = None) -> DataFrame | None:
     """CSVs whose first column is observation_date, outer-merged on the date; None if there is nothing to read.
 
     Series that occur in two files get the file's number as a suffix. A missing file is skipped with a warning, or
-    raises with on_missing='raise'.
+    raises with on_missing='raise'. ``until`` gives the last date to take of a path.
     """
     frames, seen = [], set()
     for i, path in enumerate(paths):
@@ -48,11 +51,20 @@ def read_confounders(spark: SparkSession, paths: list[str], on_missing: str = "s
         names = {c: c if c not in seen else f"{c}_{i}" for c in raw.columns[1:]}
         seen |= set(names.values())
         columns = [F.col(f"`{c}`").try_cast("double").alias(n) for c, n in names.items()]
-        frames.append(nan_to_null(raw.select(F.to_date("observation_date").alias("date"), *columns).unpivot("date", list(names.values()), "series", "value")))
+        dated = raw.select(F.to_date("observation_date").alias("date"), *columns)
+        if until and path in until:
+            dated = dated.filter(F.col("date") <= F.to_date(F.lit(until[path])))
+        frames.append(nan_to_null(dated.unpivot("date", list(names.values()), "series", "value")))
     return outer_merge(frames) if frames else None
 
 
-SOURCES = {"macro": ["DFF", "T5YIE", "USEPUINDXD", "DFII10"], "trade": ["DCOILWTICO", "DTWEXBGS", "DTWEXEMEGS", "GVZCLS"], "vix": ["VIXCLS"], "covid": ["COVID"]}
+#: The confounder files of each group.
+SOURCES = {
+    "macro": ["DFF_20000103_20201231", "T5YIE_20030102_20201231", "USEPUINDXD_20000103_20201231", "DFII10_20030102_20201231"],
+    "trade": ["DCOILWTICO_20000103_20201231", "DTWEXBGS_20060102_20201231", "DTWEXEMEGS_20060102_20201231", "GVZCLS_20080603_20201231"],
+    "vix": ["VIX_20000103_20201231"],
+    "covid": ["USCOVIDDATA_20200101_20221231"],
+}
 
 
 def source_files(folder: str, **use: bool) -> list[str]:

@@ -17,23 +17,27 @@ DAYS = [datetime.date(2020, 1, 1) + datetime.timedelta(days=i) for i in range(70
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     out, rng = tmp_path_factory.mktemp("csv"), np.random.default_rng(1)
-    names = ["AAA", "BBB", "SPY", "GAP"]
+    names = ["BBB", "AAA", "SPY", "GAP"]
     x = rng.normal(0, 0.01, (70, 4))
     rows = [",".join(["ticker", *(f"X{d:%Y%m%d}" for d in DAYS)])]
     rows += [",".join([n, *("" if n == "GAP" and i == 9 else repr(float(v)) for i, v in enumerate(x[:, j]))]) for j, n in enumerate(names)]
     (out / "returns.csv").write_text("\n".join(rows))
-    (out / "DFF.csv").write_text("observation_date,DFF\n" + "\n".join(f"{d},{rng.normal() if i % 4 else ''}" for i, d in enumerate(DAYS)))
-    (out / "VIXCLS.csv").write_text("observation_date,VIXCLS,DFF\n" + "\n".join(f"{d},{rng.normal()},1.5" for d in DAYS))
+    (out / "DFF_20000103_20201231.csv").write_text("observation_date,DFF\n" + "\n".join(f"{d},{rng.normal() if i % 4 else ''}" for i, d in enumerate(DAYS)))
+    (out / "VIX_20000103_20201231.csv").write_text("observation_date,VIXCLS,DFF\n" + "\n".join(f"{d},{rng.normal()},1.5" for d in DAYS))
     return out, x
 
 
 def test_sources(spark, folder):
     out, x = folder
     r = tables.read_returns(spark, str(out / "returns.csv"))
-    assert r.columns == ["date", "series", "value"] and r.count() == 280
-    assert r.filter("series = 'AAA'").orderBy("date").first().value == x[0, 0]
+    assert r.columns == ["date", "series", "value", "place"] and r.count() == 280
+    assert r.filter("series = 'BBB'").orderBy("date").first().value == x[0, 0]
+    assert {s.series for s in panel.first_series(r, 1, "place").select("series").distinct().collect()} == {"BBB"}
+    assert {s.series for s in panel.first_series(r, 1).select("series").distinct().collect()} == {"AAA"}
+    vix = f"{out}/VIX_20000103_20201231.csv"
+    assert tables.read_confounders(spark, [vix], until={vix: str(DAYS[9])}).count() == 20
     assert {s.series for s in panel.complete_series(r).select("series").distinct().collect()} == {"AAA", "BBB", "SPY"}
-    c = tables.read_confounders(spark, [f"{out}/DFF.csv", f"{out}/absent.csv", f"{out}/VIXCLS.csv"])
+    c = tables.read_confounders(spark, [f"{out}/DFF_20000103_20201231.csv", f"{out}/absent.csv", f"{out}/VIX_20000103_20201231.csv"])
     assert {s.series for s in c.select("series").distinct().collect()} == {"DFF", "VIXCLS", "DFF_2"} and c.count() == 210
     assert c.filter("value is null").count() == 18
     with pytest.raises(Exception, match="absent"):
@@ -76,7 +80,7 @@ def test_buy_and_hold_without_adjustment(spark, folder):
 
 def test_streaming_scores_equal_the_batch(spark, folder, tmp_path):
     out, _ = folder
-    every = panel.complete_series(tables.read_returns(spark, f"{out}/returns.csv"))
+    every = panel.complete_series(tables.read_returns(spark, f"{out}/returns.csv")).drop("place")
     for i, (lo, hi) in enumerate(((0, 50), (50, 60), (60, 70))):
         every.filter(every.date.between(DAYS[lo], DAYS[hi - 1])).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
         stream = spark.readStream.schema(every.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
