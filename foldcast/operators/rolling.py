@@ -181,3 +181,10 @@ def long_forecast(forecasts: DataFrame, series: list[str]) -> DataFrame:
     names = F.array(*[F.lit(s) for s in sorted(series)])
     each = forecasts.select("origin", F.col("target_t").alias("t"), F.posexplode("y_hat").alias("i", "f"))
     return each.select("origin", "t", F.element_at(names, F.col("i") + 1).alias("series"), "f")
+
+
+def lag_mask(selection: DataFrame, p_max: int) -> DataFrame:
+    """(origin, lag, treatment, control): 0/1 marks of the lags that ORACLE-VAR used at each origin, lags 1 to p_max."""
+    each = selection.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(p_max))))
+    mark = lambda c: F.array_contains(c, F.col("lag")).cast("int")
+    return each.select("origin", "lag", mark("treatment_lags").alias("treatment"), mark("control_lags").alias("control"))

@@ -544,6 +544,11 @@ def oracle_var_ols(spark, d):
     return rolling.oracle_var(*aligned(spark, d), lookback=L, p_max=4, significance=0.15, model_y="ols", model_t="ols")
 
 
+@query("oracle_var_lag_mask")
+def oracle_var_lag_mask(spark, d):
+    return rolling.lag_mask(oracle_var_ols(spark, d), 4)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Monthly spend by priority, AR(1) rolling forecasts, weighted long/short, performance."""
     y = tables.spend_panel(spark, d, "month")

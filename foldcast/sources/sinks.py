@@ -6,6 +6,7 @@ import dataclasses
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def save_tables(tables: dict[str, DataFrame], folder: str) -> None:
@@ -28,3 +29,14 @@ def summary(table: DataFrame) -> str:
     rows = table.orderBy("strategy").collect()
     show = lambda x: "-" if x is None else f"{x:.4f}"
     return "\n".join(f"{r.strategy}: {show(r.annualized_return_pct)} % a year, Sharpe {show(r.sharpe_ratio)}, total {show(r.total_return)}" for r in rows)
+
+
+def lag_plot(selection: DataFrame, dates: DataFrame) -> DataFrame:
+    """(date, p_opt) of the chosen lag over time, for a step plot; dates are (t, date)."""
+    return selection.select(F.col("target_t").alias("t"), "p_opt").join(dates, "t").select("date", "p_opt")
+
+
+def strategy_plot(pnl: DataFrame, dates: DataFrame, adjusted: bool) -> DataFrame:
+    """(date, strategy, percent): cumulative returns, a line a strategy; buy-and-hold only if returns are unadjusted."""
+    shown = pnl.filter(F.col("strategy") != "buy_and_hold") if adjusted else pnl
+    return shown.join(dates, "t").select("date", "strategy", (F.col("cumulative") * 100).alias("percent"))

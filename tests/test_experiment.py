@@ -8,7 +8,7 @@ import pytest
 
 from foldcast.operators import backtest, forecast_sql, panel
 from foldcast.plans import experiment
-from foldcast.sources import tables
+from foldcast.sources import sinks, tables
 from foldcast.streaming.score import score_latest
 
 DAYS = [datetime.date(2020, 1, 1) + datetime.timedelta(days=i) for i in range(70)]
@@ -60,6 +60,9 @@ def test_experiment(spark, folder, tmp_path, analysis):
     assert got.performance.count() == len(backtest.STRATEGIES)
     saved = spark.read.parquet(f"{tmp_path}/{config.name}/pnl")
     assert saved.count() == 29 * 5
+    days = spark.createDataFrame(list(enumerate(DAYS)), "t int, date date")
+    assert sinks.lag_plot(got.selection, days).count() == 29
+    assert sinks.strategy_plot(got.pnl, days, got.adjusted).count() == 29 * 5 and "Sharpe" in sinks.summary(got.performance)
     assert json.loads(spark.read.text(f"{tmp_path}/{config.name}/config").first().value)["analysis"] == analysis
     assert spark.read.csv(f"{tmp_path}/{config.name}/performance", header=True).columns == ["strategy", "annualized_return_pct", "sharpe_ratio", "total_return"]
 

@@ -96,7 +96,10 @@ def test_or_var_equals_loop(spark, offset):
 
 def test_oracle_var_equals_function_and_mask(spark):
     y, w = data(3, 120)
-    got = rolling.oracle_var(long(spark, y, "a"), long(spark, w, "c"), lookback=100, p_max=4, significance=0.2, model_y="ols", model_t="ols").collect()
+    frame = rolling.oracle_var(long(spark, y, "a"), long(spark, w, "c"), lookback=100, p_max=4, significance=0.2, model_y="ols", model_t="ols").cache()
+    got, marks = frame.collect(), rolling.lag_mask(frame, 4).collect()
+    assert {(r.origin, m) for r in got for m in r.treatment_lags} == {(r.origin, r.lag) for r in marks if r.treatment}
+    assert {(r.origin, m) for r in got for m in r.control_lags} == {(r.origin, r.lag) for r in marks if r.control}
     assert sorted(r.origin for r in got) == list(range(100, 119))
     for r in got:
         lags_ = sorted(r.treatment_lags + r.control_lags)
