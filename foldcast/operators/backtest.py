@@ -29,27 +29,37 @@ class Strategy:
 STRATEGIES = (Strategy("naive", "naive"), Strategy("weighted", "weighted"), Strategy("top_50", "top", 0.5), Strategy("top_25", "top", 0.25), Strategy("top_75", "top", 0.75))
 
 
-def positions(forecasts: DataFrame, strategy: Strategy, n_series: int) -> DataFrame:
-    """(t, series, position): absolute positions of a day sum to 1, or to 0 if nothing is held.
+def positions_of(forecasts: DataFrame, strategies, n_series: int) -> DataFrame:
+    """(strategy, t, series, position): absolute positions of a day sum to 1, or to 0 if nothing is held.
 
     naive takes the sign of each forecast, weighted the forecast itself. top takes the sign of forecasts whose size is
     strictly over the cutoff-th largest of the day (counted from 0), cutoff = int(n * (1 - percentile)): without ties
-    exactly cutoff series, fewer on ties.
+    exactly cutoff series, fewer on ties. All strategies share one shuffle and sort of the forecasts by day.
     """
     f, size, day = F.col("f"), F.abs("f"), Window.partitionBy("t")
-    if strategy.kind == "weighted":
-        raw = f
-    elif strategy.kind == "naive":
-        raw = F.signum(f)
-    else:
-        cutoff = int(n_series * (1 - strategy.percentile))
-        forecasts = forecasts.withColumn("rank", F.row_number().over(day.orderBy(size.desc(), "series")))
-        edge = F.max(F.when(F.col("rank") == cutoff + 1, size)).over(day)
-        raw = F.when(size > edge, F.signum(f)).otherwise(0.0)
-    gross = F.sum(F.abs("raw")).over(day)
-    held = forecasts.withColumn("raw", raw).withColumn("gross", gross)
-    sign = -1.0 if strategy.contrarian else 1.0
-    return held.select("t", "series", (F.lit(sign) * F.col("raw") / F.when(F.col("gross") == 0, 1.0).otherwise(F.col("gross"))).alias("position"))
+    held = forecasts
+    if any(s.kind == "top" for s in strategies):
+        held = held.withColumn("rank", F.row_number().over(day.orderBy(size.desc(), "series")))
+    raws, parts = [], []
+    for i, s in enumerate(strategies):
+        if s.kind == "weighted":
+            raw = f
+        elif s.kind == "naive":
+            raw = F.signum(f)
+        else:
+            cutoff = int(n_series * (1 - s.percentile))
+            raw = F.when(size > F.max(F.when(F.col("rank") == cutoff + 1, size)).over(day), F.signum(f)).otherwise(0.0)
+        raws.append(raw.alias(f"raw{i}"))
+        gross, sign = F.col(f"gross{i}"), F.lit(-1.0 if s.contrarian else 1.0)
+        parts.append(F.struct(F.lit(s.name).alias("strategy"), (sign * F.col(f"raw{i}") / F.when(gross == 0, 1.0).otherwise(gross)).alias("position")))
+    held = held.select("t", "series", *raws)
+    held = held.select("*", *[F.sum(F.abs(f"raw{i}")).over(day).alias(f"gross{i}") for i in range(len(parts))])
+    return held.select("t", "series", F.inline(F.array(*parts))).select("strategy", "t", "series", "position")
+
+
+def positions(forecasts: DataFrame, strategy: Strategy, n_series: int) -> DataFrame:
+    """(t, series, position) of one strategy."""
+    return positions_of(forecasts, [strategy], n_series).drop("strategy")
 
 
 def simple_returns(actuals: DataFrame) -> DataFrame:
@@ -101,12 +111,8 @@ def pnl(forecasts: DataFrame, actuals: DataFrame, strategy: Strategy, n_series:
 
 
 def sweep(forecasts: DataFrame, actuals: DataFrame, n_series: int, strategies=STRATEGIES, benchmark: DataFrame | None = None, beta_neutral: bool = False, beta_window: int = 63) -> DataFrame:
-    """pnl of several strategies in one plan: positions are stacked, then one aggregation and one window a strategy."""
-    held = None
-    for s in strategies:
-        part = positions(forecasts, s, n_series).withColumn("strategy", F.lit(s.name))
-        held = part if held is None else held.unionByName(part)
-    daily = portfolio(held, actuals, "strategy")
+    """pnl of several strategies in one plan: one pass over the forecasts, one aggregation, one window a strategy."""
+    daily = portfolio(positions_of(forecasts, strategies, n_series), actuals, "strategy")
     if benchmark is not None:
         daily = hedge(daily, benchmark, beta_neutral, beta_window, "strategy")
     return cumulate(daily, "strategy").select("strategy", "t", "daily", "net_position", "cumulative")

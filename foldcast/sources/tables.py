@@ -85,11 +85,17 @@ def spend_levels(spark: SparkSession, sf_dir: str, bucket: str = "week", fill: b
 
 
 def spend_panel(spark: SparkSession, sf_dir: str, bucket: str = "week", fill: bool = True) -> DataFrame:
-    """(t, date, series, value): scaled log changes of spend; the first bucket is dropped."""
+    """(t, date, series, value): scaled log changes of spend; the first bucket is dropped.
+
+    A filled panel has every date in every series, so the row number within a series is t: orders are read once and the
+    dates need no table of their own.
+    """
     w = Window.partitionBy("series").orderBy("date")
     levels = spend_levels(spark, sf_dir, bucket, fill)
-    first = levels.agg(F.min("date").alias("first"))
     change = levels.withColumn("value", F.lit(SCALE) * (F.log(1 + F.col("level")) - F.log(1 + F.lag("level").over(w))))
+    if fill:
+        return change.withColumn("t", F.row_number().over(w) - 2).filter("t >= 0").select("t", "date", "series", "value")
+    first = levels.agg(F.min("date").alias("first"))
     return with_t(change.crossJoin(F.broadcast(first)).filter("date > first").select("date", "series", "value"))
 
 
