@@ -3,7 +3,8 @@
 Every origin looks at a bounded stretch of rows. Origins are cut into runs of ORIGINS and each row of the panel goes to
 the runs that look at it (about lookback / ORIGINS + 1 of them); a run is one group of one Python task. Nothing is
 broadcast and no task sees the whole panel, so runs, panels and lookbacks scale by adding tasks. Inside a task the
-fits are numpy. Selection of the best lag is a DataFrame aggregation over the table of fold errors.
+fits are numpy; choice and forecast of an origin need one pass. The table of fold errors is there too, with its
+selection as a DataFrame aggregation.
 """
 
 from __future__ import annotations
@@ -46,36 +47,25 @@ def _runs(assets: DataFrame, confounders: DataFrame | None, spec: WindowSpec, n:
     return rows.withColumn("run", F.explode(runs))
 
 
-def _each_origin(assets, confounders, spec, schema: str, work: Callable[[np.ndarray, np.ndarray | None, int], Iterator[tuple]], pairs: DataFrame | None = None) -> DataFrame:
-    """Apply work(y, w, base, origin, chosen) over origins; y[base] is the row t = 0 of the panel (base may be negative).
-
-    With ``pairs`` (origin, ...) each origin gets its rows of that frame, cogrouped by run.
-    """
+def _each_origin(assets, confounders, spec, schema: str, work: Callable[[np.ndarray, np.ndarray | None, int, int], Iterator[tuple]]) -> DataFrame:
+    """Apply work(y, w, base, origin) over the origins; y[base] is the row t = 0 of the panel (base may be negative)."""
     n = assets.agg((F.max("t") + 1).alias("n")).first().n or 0
     spec.origins(n)
     columns = [c.strip().split(" ")[0] for c in schema.split(",")]
     has_w = confounders is not None
-    last_row = n - 1
 
-    def run(key, rows: pd.DataFrame, chosen: pd.DataFrame | None = None) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
-        out = []
-        if len(rows):
-            t0 = int(rows.t.iloc[0])
-            if int(rows.t.iloc[-1]) - t0 + 1 != len(rows):
-                raise ValueError("a date is missing or repeated in the panel")
-            y = np.stack(rows.y.to_numpy()).astype(float)
-            w = np.stack(rows.w.to_numpy()).astype(float) if has_w else None
-            picks = {} if chosen is None else {o: g for o, g in chosen.groupby("origin")}
-            for d in range(max(spec.lookback, int(key[0]) * ORIGINS), min(last_row, (int(key[0]) + 1) * ORIGINS)):
-                out += work(y, w, -t0, d, picks.get(d))
+        t0, out = int(rows.t.iloc[0]), []
+        if int(rows.t.iloc[-1]) - t0 + 1 != len(rows):
+            raise ValueError("a date is missing or repeated in the panel")
+        y = np.stack(rows.y.to_numpy()).astype(float)
+        w = np.stack(rows.w.to_numpy()).astype(float) if has_w else None
+        for d in range(max(spec.lookback, int(key[0]) * ORIGINS), min(n - 1, (int(key[0]) + 1) * ORIGINS)):
+            out += work(y, w, -t0, d)
         return pd.DataFrame(out, columns=columns)
 
-    runs = _runs(assets, confounders, spec, n)
-    if pairs is None:
-        return runs.groupBy("run").applyInPandas(lambda key, rows: run(key, rows), schema)
-    keyed = pairs.withColumn("run", F.floor(F.col("origin") / ORIGINS))
-    return runs.groupBy("run").cogroup(keyed.groupBy("run")).applyInPandas(lambda key, rows, chosen: run(key, rows, chosen), schema)
+    return _runs(assets, confounders, spec, n).groupBy("run").applyInPandas(run, schema)
 
 
 def _design(y, w, lo, hi, p):
@@ -98,36 +88,33 @@ ERRORS = "origin int, p int, alpha double, place int, shift int, err double"
 FORECAST = "origin int, target_t int, p_opt int, alpha_opt double, valid_err double, y_hat array<double>"
 
 
-def _selected(assets, confounders, spec, p_max, alphas, fit, metric, how) -> tuple[DataFrame, DataFrame]:
-    """(forecasts, errors): grid of fold errors, least error, final fit at the chosen lag."""
-    grid = [(p, a, i) for p in range(1, p_max + 1) for i, a in enumerate(alphas)]
+class _Grid:
+    """A model over the grid of lags and alphas: fold errors, or in one pass the choice and the forecast of each origin."""
 
-    def folds(y, w, base, d, _):
-        for p, a, i in grid:
-            for s in range(spec.days_valid):
-                lo, hi = spec.fold(d, s)
-                yy, t, c = _design(y, w, lo + base, hi + base, p)
-                guess = fit(yy[:-1], t[:-1], c[:-1], t[-1:], c[-1:], a)
-                yield d, p, a, i, s, METRICS[metric](yy[-1:], guess)
+    def __init__(self, spec, p_max, alphas, fit, metric, how):
+        self.spec, self.fit, self.metric, self.how = spec, fit, METRICS[metric], how
+        self.cells = [(p, a, i) for p in range(1, p_max + 1) for i, a in enumerate(alphas)]
 
-    def last(y, w, base, d, pick):
-        lo, hi = spec.final(d)
-        p, a = int(pick.p_opt.iloc[0]), pick.alpha_opt.iloc[0]
-        a = None if a is None or np.isnan(a) else float(a)
+    def error(self, y, w, base, d, p, a, s) -> float:
+        lo, hi = self.spec.fold(d, s)
         yy, t, c = _design(y, w, lo + base, hi + base, p)
-        yield d, hi, p, a, float(pick.valid_err.iloc[0]), fit(yy[:-1], t[:-1], c[:-1], t[-1:], c[-1:], a)[0].tolist()
-
-    errors = _each_origin(assets, confounders, spec, ERRORS, folds)
-    return _each_origin(assets, confounders, spec, FORECAST, last, best(errors, how)), errors
-
+        return self.metric(yy[-1:], self.fit(yy[:-1], t[:-1], c[:-1], t[-1:], c[-1:], a))
+
+    def errors(self, y, w, base, d):
+        for p, a, i in self.cells:
+            for s in range(self.spec.days_valid):
+                yield d, p, a, i, s, self.error(y, w, base, d, p, a, s)
+
+    def forecast(self, y, w, base, d):
+        total = np.mean if self.how == "mean" else np.sum
+        scored = [(float(total([self.error(y, w, base, d, p, a, s) for s in range(self.spec.days_valid)])), p, i, a) for p, a, i in self.cells]
+        err, p, _, a = min(scored, key=lambda x: (np.isnan(x[0]), *x[:3]))
+        lo, hi = self.spec.final(d)
+        yy, t, c = _design(y, w, lo + base, hi + base, p)
+        yield d, hi, p, a, err, self.fit(yy[:-1], t[:-1], c[:-1], t[-1:], c[-1:], a)[0].tolist()
 
-def var(assets: DataFrame, confounders: DataFrame | None = None, spec: WindowSpec | None = None, p_max: int = 5, model: str = "ols", alphas=ALPHAS, error_metric: str = "rmse") -> DataFrame:
-    """Plain VAR, or VARX if there are confounders: (origin, target_t, p_opt, alpha_opt, valid_err, y_hat).
 
-    assets and confounders are complete long panels (t, series, value). Model is ols or lasso; the fold error is
-    row_rmse and its mean over the folds is minimised over p = 1..p_max (and, for lasso, alpha).
-    """
-    spec = spec or WindowSpec()
+def _var_grid(spec, p_max, model, alphas, error_metric) -> _Grid:
     if model not in ("ols", "lasso"):
         raise ValueError(f"model is ols or lasso, not {model!r}")
     if error_metric != "rmse":
@@ -137,7 +124,23 @@ def var(assets: DataFrame, confounders: DataFrame | None = None, spec: WindowSpe
         x, x1 = np.hstack([t, c]), np.hstack([t1, c1])
         return regressor(model, **({} if alpha is None else {"alpha": alpha})).fit(x, y).predict(x1)
 
-    return _selected(assets, confounders, spec, p_max, list(alphas) if model == "lasso" else [None], fit, "row_rmse", "mean")[0]
+    return _Grid(spec, p_max, list(alphas) if model == "lasso" else [None], fit, "row_rmse", "mean")
+
+
+def var_errors(assets: DataFrame, confounders: DataFrame | None = None, spec: WindowSpec | None = None, p_max: int = 5, model: str = "ols", alphas=ALPHAS, error_metric: str = "rmse") -> DataFrame:
+    """The table of fold errors of plain VAR(X): (origin, p, alpha, place, shift, err); ``best`` picks from it."""
+    spec = spec or WindowSpec()
+    return _each_origin(assets, confounders, spec, ERRORS, _var_grid(spec, p_max, model, alphas, error_metric).errors)
+
+
+def var(assets: DataFrame, confounders: DataFrame | None = None, spec: WindowSpec | None = None, p_max: int = 5, model: str = "ols", alphas=ALPHAS, error_metric: str = "rmse") -> DataFrame:
+    """Plain VAR, or VARX if there are confounders: (origin, target_t, p_opt, alpha_opt, valid_err, y_hat).
+
+    assets and confounders are complete long panels (t, series, value). Model is ols or lasso; the fold error is
+    row_rmse and its mean over the folds is minimised over p = 1..p_max (and, for lasso, alpha).
+    """
+    spec = spec or WindowSpec()
+    return _each_origin(assets, confounders, spec, FORECAST, _var_grid(spec, p_max, model, alphas, error_metric).forecast)
 
 
 def _need(confounders):
@@ -159,7 +162,7 @@ def or_var(assets: DataFrame, confounders: DataFrame | None, spec: WindowSpec |
     def fit(y, t, c, t1, c1, _):
         return LinearDml(model_y, model_t, cv_folds, y_params, t_params, profile).fit(y, t, c).predict(t1, c1)
 
-    return _selected(assets, confounders, spec, p_max, [None], fit, "mean_output_rmse", "sum")[0].drop("alpha_opt")
+    return _each_origin(assets, confounders, spec, FORECAST, _Grid(spec, p_max, [None], fit, "mean_output_rmse", "sum").forecast).drop("alpha_opt")
 
 
 def oracle_var(assets: DataFrame, confounders: DataFrame | None, lookback: int = 1008, p_max: int = 5, significance: float = 0.05, model_y: str = "extra_trees", model_t: str = "extra_trees", y_params=None, t_params=None, cv_folds: int = 5, profile: str = "core") -> DataFrame:
@@ -168,7 +171,7 @@ def oracle_var(assets: DataFrame, confounders: DataFrame | None, lookback: int =
     spec = WindowSpec(lookback, 0, 1)
     model = {"model_y": model_y, "model_t": model_t, "folds": cv_folds, "y_params": y_params, "t_params": t_params, "profile": profile}
 
-    def work(y, w, base, d, _):
+    def work(y, w, base, d):
         lo, hi = spec.final(d)
         got = choose_lags(y[lo + base : hi + base + 1], w[lo + base : hi + base + 1], p_max, significance, **model)
         yield d, hi, got["p_opt"], got["treatment"], got["control"], got["max_confound_lag"], got["rank"], got["y_hat"].tolist()

@@ -510,6 +510,16 @@ def var_ols(spark, d):
     return named(rolling.var(assets(spark, d), None, SPEC, P_MAX))
 
 
+@query("var_fold_errors")
+def var_fold_errors(spark, d):
+    return rolling.var_errors(assets(spark, d), None, SPEC, P_MAX)
+
+
+@query("var_best_lag")
+def var_best_lag(spark, d):
+    return rolling.best(rolling.var_errors(assets(spark, d), None, SPEC, P_MAX))
+
+
 @query("varx_ols")
 def varx_ols(spark, d):
     return named(rolling.var(*aligned(spark, d), SPEC, P_MAX))

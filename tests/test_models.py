@@ -87,6 +87,16 @@ def test_var_equals_loop(spark, exogenous):
     same(got, plain(y, w, 1, 2, "var"))
 
 
+def test_errors_select_what_the_forecast_used(spark):
+    y, _ = data(4)
+    spec = windows.WindowSpec(L, V)
+    for model in ("ols", "lasso"):
+        picked = {r.origin: (r.p_opt, r.alpha_opt, r.valid_err) for r in rolling.best(rolling.var_errors(long(spark, y, "a"), None, spec, 2, model, (0.001, 0.1))).collect()}
+        used = {r.origin: (r.p_opt, r.alpha_opt, r.valid_err) for r in rolling.var(long(spark, y, "a"), None, spec, 2, model, (0.001, 0.1)).collect()}
+        assert set(picked) == set(used)
+        assert all(picked[d][:2] == used[d][:2] and abs(picked[d][2] - used[d][2]) < 1e-12 for d in used)
+
+
 @pytest.mark.parametrize("offset", [0, 1])
 def test_or_var_equals_loop(spark, offset):
     y, w = data(2)
