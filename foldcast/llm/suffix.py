@@ -23,11 +23,11 @@ from .substring import _lists, _numbers, text_key
 from .textkernel import BASES, BYTE_VALUE, Rolling, mixed, sliding_min
 
 SEED, INDEX_BITS, SLICE = 24, np.uint64(28), 1 << 20
-HOT, CHUNK = 4096, 1 << 19
+HOT, CHUNK = 1024, 1 << 19
 
 
 class ByteSpans:
-    """The spans of a batch of texts: begin (byte of the batch), starts (strings in it), text, place (byte of the text), seed, span."""
+    """The spans of a batch of texts: begin (byte of the batch), starts (strings in it), text, place (byte of the text), inside (of the seed), seed, span."""
 
     def __init__(self, texts: pa.Array, length: int):
         self.length = length
@@ -40,7 +40,7 @@ class ByteSpans:
         at = at[text[at] == text[at + length - 1]] if len(at) else at
         self.other = Rolling(values, BASES[2])
         if not len(at):
-            self.begin = self.starts = self.text = self.place = self.seed = self.span = np.zeros(0, np.int64)
+            self.begin = self.starts = self.text = self.place = self.inside = self.seed = self.span = np.zeros(0, np.int64)
             return
         grams = Rolling(values, BASES[1])
         here = np.arange(n - seed + 1)
@@ -54,6 +54,7 @@ class ByteSpans:
         self.text = text[self.begin]
         self.place = self.begin - self.offsets[self.text]
         picked = chosen[first]
+        self.inside = picked - self.begin
         self.seed = gram[picked].view(np.int64)
         end = self.begin + self.starts - 1 + length
         self.span = mixed(self.other.of(self.begin, end) ^ ((picked - self.begin).astype(np.uint64) << np.uint64(40))).view(np.int64)
@@ -117,8 +118,15 @@ def ranks(s: np.ndarray, depth: float = np.inf) -> np.ndarray:
     else:
         triple_zero, triple_twos = (_packed([c[i], c[i + 1], rank[i + 2]], limit) for i in (zero, twos))
     # A total preorder over all suffixes: sampled ones by rank, the others between the sampled ones they fall between.
-    below_one, upto_one = np.searchsorted(pair_ones, own), np.searchsorted(pair_ones, own, side="right")
-    below_two, upto_two = np.searchsorted(triple_twos, triple_zero), np.searchsorted(triple_twos, triple_zero, side="right")
+    rising = np.argsort(own, kind="stable")  # looking up nearly sorted keys walks memory in order
+
+    def places(keys, wanted, side):
+        out = np.empty(len(wanted), np.int64)
+        out[rising] = np.searchsorted(keys, wanted[rising], side=side)
+        return out
+
+    below_one, upto_one = places(pair_ones, own, "left"), places(pair_ones, own, "right")
+    below_two, upto_two = places(triple_twos, triple_zero, "left"), places(triple_twos, triple_zero, "right")
     sorted_rank = sample_rank[order]
     inside = by_rank < n
     sorted_rank = sorted_rank[inside]
@@ -136,7 +144,7 @@ def ranks(s: np.ndarray, depth: float = np.inf) -> np.ndarray:
         slot = np.where(equal_one, 2 * rank_one[np.minimum(below_one, len(rank_one) - 1)], slot)
     place[zero] = slot
     among = np.zeros(n, np.int64)
-    _, among[zero] = np.unique(own, return_inverse=True)
+    among[zero[rising]] = np.cumsum(np.concatenate([[False], own[rising][1:] != own[rising][:-1]]))
     among[place % 2 == 0] = 0
     _, out = np.unique(_packed([place, among], 2 * len(distinct) + n + 2), return_inverse=True)
     return out
@@ -146,6 +154,33 @@ def _pair(a: np.ndarray, b: np.ndarray, top: int) -> np.ndarray:
     return a << int(top).bit_length() | b
 
 
+def shared_parts(bodies: list[bytes], starts: np.ndarray, inside: np.ndarray, seeds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first start, starts) of the pieces that may hold a string of another one; the rest are told by less.
+
+    The seed stands at some offset in a string. All strings with offsets in one of a few ranges share the bytes around
+    the seed that each of them must hold; if no other piece of the seed has these bytes, none of those strings repeats.
+    """
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    sizes = np.array([len(x) for x in bodies], np.int64)
+    base = np.cumsum(sizes) - sizes
+    rolling = Rolling(BYTE_VALUE[data], BASES[1])
+    step = max(1, min(13, length // 4))
+    low, high = np.full(len(bodies), 1 << 40), np.full(len(bodies), -1)
+    for near in range(0, length, step):
+        far = min(near + step, length) - 1
+        begin, end = np.maximum(0, inside - far), np.minimum(starts - 1, inside - near)  # starts whose offset is in the range
+        rows = np.flatnonzero(begin <= end)
+        if not len(rows):
+            continue
+        seat = base[rows] + inside[rows]
+        key = rolling.of(seat - near, seat - far + length) ^ mixed(seeds[rows].view(np.uint64).copy())
+        _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        rows = rows[count[which] > 1]
+        low[rows], high[rows] = np.minimum(low[rows], begin[rows]), np.maximum(high[rows], end[rows])
+    kept = np.flatnonzero(high >= 0)
+    return kept, low[kept], high[kept] - low[kept] + 1
+
+
 def repeats(pieces: list[bytes], starts: np.ndarray, ids: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(piece, start in it) of every string of ``length`` bytes that also starts earlier, by (id, place + start).
 
@@ -238,11 +273,11 @@ def _covers(ws: Workspace, docs: DataFrame, length: int) -> DataFrame:
                 w[n1:] = x.other.of(start, start + length).view(np.int64)
                 body = [None] * n0 + [raw[b : b + n - 1 + length] for b, n in zip(x.begin[bulk].tolist(), x.starts[bulk].tolist())] + [None] * len(each)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[text]), pa.array([keys[i] for i in text.tolist()], pa.int64()), pa.array((begin - x.offsets[text]).astype(np.int32)), pa.array(count.astype(np.int32)), seed, pa.array(w, mask=np.arange(len(span)) < n1), pa.array(body, pa.binary())],
-                    names=["d", "k", "s", "n", "h", "w", "body"],
+                    [pa.array(ids[text]), pa.array([keys[i] for i in text.tolist()], pa.int64()), pa.array((begin - x.offsets[text]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(x.inside[span].astype(np.int32)), seed, pa.array(w, mask=np.arange(len(span)) < n1), pa.array(body, pa.binary())],
+                    names=["d", "k", "s", "n", "o", "h", "w", "body"],
                 )
 
-    parts = ws.save(known.join(marks.hint("merge"), "d").mapInArrow(cut, "d long, k long, s int, n int, h long, w long, body binary"), "parts")
+    parts = ws.save(known.join(marks.hint("merge"), "d").mapInArrow(cut, "d long, k long, s int, n int, o int, h long, w long, body binary"), "parts")
     ws.drop("found", "first", "several")
     ws.release()
 
@@ -265,7 +300,7 @@ def _covers(ws: Workspace, docs: DataFrame, length: int) -> DataFrame:
 
     def late(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
-        d, k, s, n, h = (rows.column(c).to_numpy() for c in ("d", "k", "s", "n", "h"))
+        d, k, s, n, o, h = (rows.column(c).to_numpy() for c in ("d", "k", "s", "n", "o", "h"))
         bodies = rows.column("body").to_pylist()
         lo = 0
         while lo < len(d):  # whole seeds up to CHUNK bytes
@@ -273,10 +308,15 @@ def _covers(ws: Workspace, docs: DataFrame, length: int) -> DataFrame:
             while hi < len(d) and (size < CHUNK or h[hi] == h[hi - 1]):
                 size += len(bodies[hi])
                 hi += 1
-            piece, start = repeats(bodies[lo:hi], n[lo:hi].astype(np.int64), d[lo:hi], s[lo:hi].astype(np.int64), length)
             first, lo = lo, hi
+            kept, skip, many = shared_parts(bodies[first:hi], n[first:hi].astype(np.int64), o[first:hi].astype(np.int64), h[first:hi], length)
+            if not len(kept):
+                continue
+            pieces = [bodies[first + i][a : a + m - 1 + length] for i, a, m in zip(kept.tolist(), skip.tolist(), many.tolist())]
+            piece, start = repeats(pieces, many, d[first + kept], s[first + kept] + skip, length)
             if not len(piece):
                 continue
+            start, piece = start + skip[piece], kept[piece]
             order = np.lexsort((start, piece))
             piece, start = piece[order], start[order]
             new = np.ones(len(piece), bool)
@@ -286,7 +326,7 @@ def _covers(ws: Workspace, docs: DataFrame, length: int) -> DataFrame:
             p = piece[a] + first
             yield pa.RecordBatch.from_arrays([pa.array(d[p]), pa.array(k[p]), pa.array((s[p] + start[a]).astype(np.int32)), pa.array((s[p] + start[b] + length).astype(np.int32))], names=["d", "k", "s", "e"])
 
-    bulk = parts.filter("body is not null").select("h", "d", "k", "s", "n", "body").repartition("h").sortWithinPartitions("h")
+    bulk = parts.filter("body is not null").select("h", "d", "k", "s", "n", "o", "body").repartition("h").sortWithinPartitions("h")
     sorted_ = ws.save(bulk.mapInArrow(sort, "d long, k long, s int, e int"), "sorted")
     hot = parts.filter("w is not null")
     earliest = ws.save(hot.groupBy("h", "w").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first < last").select("h", "w", "first"), "earliest")
