@@ -68,7 +68,7 @@ def outer_merge(frames: list[DataFrame]) -> DataFrame:
     rows = frames[0].select("date", "series", "value")
     for f in frames[1:]:
         rows = rows.unionByName(f.select("date", "series", "value"))
-    spine = rows.select("date").distinct().crossJoin(F.broadcast(rows.select("series").distinct()))
+    spine = rows.select("date").distinct().crossJoin(rows.select("series").distinct())
     return spine.join(rows, ["date", "series"], "left")
 
 
