@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, read
 
-#: No source is repeated more often than this on average, however high its target weight.
+#: op4, whose SQL says so, repeats no source more often than this on average; ``mix`` has no such limit of its own.
 MOST_EPOCHS = 16.0
+#: A higher rate is drawn as a sum of equal parts of at most this rate, as exp(-rate) must not vanish.
+PART = 512.0
 TEMPERATURE, SEED = 0.5, "mix-1"
 
 
@@ -18,12 +20,12 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(source, rate, cdf): the mean number of copies of each document of a source and its cumulative Poisson terms.
+def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0, source_col: str = "source", text_col: str = "text", most_epochs: float | None = None) -> DataFrame:
+    """(source, rate, parts, cdf): the mean number of copies of each document of a source, and the cumulative Poisson terms of each of its equal parts.
 
     A source's target share is its weight over the sum of weights (an unlisted source has weight 0), or, without
     weights, its characters to the power ``temperature``. rate = share * epochs * all characters / the source's
-    characters, at most MOST_EPOCHS. A source without characters keeps its documents at the rate ``epochs``.
+    characters; with ``most_epochs`` at most that, and a source held to it misses its share. A source without characters keeps its documents at the rate ``epochs``.
     """
     size = docs.groupBy(F.col(source_col).alias("source")).agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).cast("double").alias("size"))
     if weights is None:
@@ -34,18 +36,20 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
             goal = F.when(F.col("source") == name, F.lit(float(weight))).otherwise(goal)
     sized = size.withColumn("goal", goal)
     total = sized.agg(F.sum("size").alias("all_size"), F.sum("goal").alias("all_goal"))
-    rate = F.when(F.col("size") > 0, F.least(F.lit(MOST_EPOCHS), F.col("goal") / F.col("all_goal") * F.lit(float(epochs)) * F.col("all_size") / F.col("size"))).otherwise(F.lit(float(epochs)))
-    rated = sized.crossJoin(F.broadcast(total)).select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
-    first = F.exp(-F.col("rate"))
+    wanted = F.col("goal") / F.col("all_goal") * F.lit(float(epochs)) * F.col("all_size") / F.col("size")
+    rate = F.when(F.col("size") > 0, wanted if most_epochs is None else F.least(F.lit(float(most_epochs)), wanted)).otherwise(F.lit(float(epochs)))
+    rated = sized.crossJoin(F.broadcast(total)).select("source", F.coalesce(rate, F.lit(0.0)).alias("whole"))
+    rated = rated.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("whole") / PART)).cast("int")).withColumn("each", F.col("whole") / F.col("parts"))
+    first = F.exp(-F.col("each"))
     terms = F.aggregate(
-        F.sequence(F.lit(1), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")),
+        F.sequence(F.lit(1), F.ceil(F.col("each") + 12 * F.sqrt("each") + 30).cast("int")),
         F.struct(first.alias("p"), F.array(first).alias("c")),
-        lambda s, k: F.struct((s["p"] * F.col("rate") / k.cast("double")).alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + s["p"] * F.col("rate") / k.cast("double"))).alias("c")),
+        lambda s, k: F.struct((s["p"] * F.col("each") / k.cast("double")).alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + s["p"] * F.col("each") / k.cast("double"))).alias("c")),
     )
-    return rated.select("source", "rate", terms["c"].alias("cdf"))
+    return rated.select("source", F.col("whole").alias("rate"), "parts", terms["c"].alias("cdf"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", most_epochs: float | None = None) -> DataFrame:
     """Every row as often as an inverted, hash-seeded Poisson distribution says, in a global shuffle.
 
     All columns of ``docs`` plus copy (from 1) and mix_key; within a partition rows are in the order of mix_key, and
@@ -58,18 +62,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     if Spark finds the file small enough. The only shuffle of texts is the final one, by an even key.
     """
     ws = Workspace(docs.sparkSession, "mixing")
-    rate = ws.save(rates(docs, weights, temperature, epochs, source_col, text_col).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf")), "rates")
+    rate = ws.save(rates(docs, weights, temperature, epochs, source_col, text_col, most_epochs).select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf")), "rates")
     who = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     drawn = docs.drop("copy", "mix_key").join(rate, F.col(source_col).eqNullSafe(F.col("__source")))
-    drawn = drawn.withColumn("__u", uniform(F.lit(seed), who)).withColumn("__n", F.size(F.filter("__cdf", lambda c: c < F.col("__u")))).filter("__n > 0")
-    copies = drawn.drop("__source", "__cdf", "__u").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
+    below = lambda u: F.size(F.filter("__cdf", lambda c: c < u))
+    more = F.aggregate(F.sequence(F.lit(2), F.col("__parts")), F.lit(0), lambda n, j: n + below(uniform(F.lit(seed), who, j.cast("string"))))
+    drawn = drawn.withColumn("__u", uniform(F.lit(seed), who)).withColumn("__n", below(F.col("__u")) + F.when(F.col("__parts") > 1, more).otherwise(0)).filter("__n > 0")
+    copies = drawn.drop("__source", "__parts", "__cdf", "__u").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), who, F.col("copy").cast("string"))))
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     """Every drawn copy of every document, sources tempered to the square root of their size."""
-    return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "mix_key", "text")
+    return mix(read(spark, sf_dir, "documents"), most_epochs=MOST_EPOCHS).select("doc_id", "source", "copy", "mix_key", "text")
 
 
 OP4_SQL = f"""
