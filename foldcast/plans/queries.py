@@ -542,11 +542,7 @@ def or_var_ols_same_day(spark, d):
 
 @query("or_var_trees")
 def or_var_trees(spark, d):
-    y, c = aligned(spark, d)
-    n = size(y)
-    y, c = (f.filter(F.col("t") >= n - L - 9).withColumn("t", F.col("t") - (n - L - 9)) for f in (y, c))
-    trees = {"n_estimators": 10}
-    return named(rolling.or_var(y, c, windows.WindowSpec(L, V, 1), 2, "extra_trees", "random_forest", trees, trees))
+    return named(rolling.or_var(*aligned(spark, d), SPEC, P_MAX, "extra_trees", "random_forest"))
 
 
 @query("oracle_var_ols")
