@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, one of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, unset on a local master (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='foldcast-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -65,6 +67,23 @@ class Workspace:
             pass
 
 
+def identified(ws: Workspace, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(rows, documents, many): every row as (d, v, t), each document once as (d, v, t), and whether some id has several texts.
+
+    v is 0 where an id has one text and else a hash of the text, so that (d, v) names a document; null counts as an empty
+    text. ``documents`` leaves out rows without an id. The list of ids that come more than once is written; where it is
+    small, as it is where ids are unique, Spark broadcasts it by the size of its file, else texts are joined in a shuffle.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    key = F.xxhash64("t")
+    counted = base.filter("d is not null").select("d", key.alias("k")).groupBy("d").agg(F.count("k").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    again = ws.save(counted.filter("n > 1").select("d", (F.col("lo") < F.col("hi")).alias("many")), "again")
+    marked = base.join(again, "d", "left").select("d", F.when(F.col("many"), key).otherwise(F.lit(0).cast("long")).alias("v"), "t", F.col("many").isNotNull().alias("again"))
+    once = marked.filter("d is not null and not again").select("d", "v", "t")
+    each = once.union(marked.filter("again").groupBy("d", "v").agg(F.min("t").alias("t")))
+    return marked.select("d", "v", "t"), each, not again.filter("many").isEmpty()
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the text of each piece has at most ``most`` bytes (a longer text gets a piece of its own)."""
     n = batch.num_rows

@@ -2,11 +2,16 @@
 
 Equal strings of ``length`` bytes pick the same seed in them (the least-hashed SEED-byte gram, leftmost on ties), so the
 work is dealt by seed: strings of different seeds need not be compared. A run of strings with one seed is a span. Spans
-that stand elsewhere as a whole are copies of their first occurrence; the distinct spans of a seed that has several go,
-as bytes, to the task of that seed. Each task builds a suffix array over its spans by the difference cover modulo 3:
-sort the sampled triples, recurse on their names, merge the remaining suffixes, then compare adjacent prefixes of
-``length`` bytes; every start but the earliest of a group of equal prefixes is a repeat. Seeds with over HOT distinct
-spans are told apart string by string instead, with pre-aggregation, so no task grows with one seed.
+that stand elsewhere as a whole are copies of their first occurrence (told by 64 bits of the seed and 64 of the span);
+the distinct spans of a seed that has several go, as bytes, to the task of that seed. Each task builds a suffix array
+over its spans by the difference cover modulo 3: sort the sampled triples, recurse on their names, merge the remaining
+suffixes, then compare adjacent prefixes of ``length`` bytes; every start but the earliest of a group of equal prefixes
+is a repeat.
+
+A seed with over CROWD distinct spans is dealt by more context: its strings are cut by their offset to the seed into
+ranges, and each range of a span becomes a piece whose key is the bytes around the seed that all its strings hold. Equal
+pieces (compared as bytes) become one representative and copies; what is still crowded is cut into finer ranges, down to
+single strings, of which all that share a key are equal. So no task grows with one seed, and every route ends the same.
 """
 
 from __future__ import annotations
@@ -18,46 +23,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, flat_bytes, read, slices
-from .substring import _lists, _numbers, text_key
-from .textkernel import BASES, BYTE_VALUE, Rolling, mixed, sliding_min
+from .common import Workspace, flat_bytes, identified, read, slices
+from .pieces import PIECE, Bytes, lists, numbers, offset_ranges, uncrowd, whole_keys
+from .textkernel import BASES, BYTE_VALUE, Rolling, blocks, mixed, sliding_min
 
 SEED, INDEX_BITS, SLICE = 24, np.uint64(28), 1 << 20
-HOT, CHUNK = 1024, 1 << 19
+CROWD, CHUNK = 256, 1 << 19
 
 
 class ByteSpans:
     """The spans of a batch of texts: begin (byte of the batch), starts (strings in it), text, place (byte of the text), inside (of the seed), seed, span."""
 
     def __init__(self, texts: pa.Array, length: int):
-        self.length = length
         self.data, self.offsets = flat_bytes(texts)
-        n, seed = len(self.data), min(SEED, length)
-        values = BYTE_VALUE[self.data]
-        sizes = np.diff(self.offsets)
+        parts = [self._block(lo, hi, length) for lo, hi in blocks(len(self.data), SLICE, length)]
+        self.begin, self.starts, self.inside, self.seed, self.span = (np.concatenate(c) for c in zip(*parts))
+        self.text = np.searchsorted(self.offsets, self.begin, side="right") - 1
+        self.place = self.begin - self.offsets[self.text]
+
+    def _block(self, lo: int, hi: int, length: int) -> tuple[np.ndarray, ...]:
+        """Spans of the strings that lie in the bytes [lo, hi)."""
+        data, offsets = self.data[lo:hi], np.unique(np.clip(self.offsets, lo, hi) - lo)
+        n, seed = len(data), min(SEED, length)
+        sizes = np.diff(offsets)
         text = np.repeat(np.arange(len(sizes)), sizes)
         at = np.arange(max(0, n - length + 1))
         at = at[text[at] == text[at + length - 1]] if len(at) else at
-        self.other = Rolling(values, BASES[2])
         if not len(at):
-            self.begin = self.starts = self.text = self.place = self.inside = self.seed = self.span = np.zeros(0, np.int64)
-            return
-        grams = Rolling(values, BASES[1])
+            return tuple(np.zeros(0, np.int64) for _ in range(5))
+        values = BYTE_VALUE[data]
         here = np.arange(n - seed + 1)
-        gram = grams.of(here, here + seed)
+        gram = Rolling(values, BASES[1]).of(here, here + seed)
         order = (gram >> INDEX_BITS << INDEX_BITS) | here.astype(np.uint64)
         chosen = (sliding_min(order, length - seed + 1)[at] & ((np.uint64(1) << INDEX_BITS) - np.uint64(1))).astype(np.int64)
         new = np.ones(len(at), bool)
         new[1:] = (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1) | (text[at[1:]] != text[at[:-1]])
         first = np.flatnonzero(new)
-        self.begin, self.starts = at[first], np.diff(np.append(first, len(at)))
-        self.text = text[self.begin]
-        self.place = self.begin - self.offsets[self.text]
+        begin, starts = at[first], np.diff(np.append(first, len(at)))
         picked = chosen[first]
-        self.inside = picked - self.begin
-        self.seed = gram[picked].view(np.int64)
-        end = self.begin + self.starts - 1 + length
-        self.span = mixed(self.other.of(self.begin, end) ^ ((picked - self.begin).astype(np.uint64) << np.uint64(40))).view(np.int64)
+        span = mixed(Rolling(values, BASES[2]).of(begin, begin + starts - 1 + length) ^ ((picked - begin).astype(np.uint64) << np.uint64(40)))
+        return begin + lo, starts, picked - begin, gram[picked].view(np.int64), span.view(np.int64)
 
 
 def _packed(parts: list[np.ndarray], top: int) -> np.ndarray:
@@ -166,8 +171,7 @@ def shared_parts(bodies: list[bytes], starts: np.ndarray, inside: np.ndarray, se
     rolling = Rolling(BYTE_VALUE[data], BASES[1])
     step = max(1, min(13, length // 4))
     low, high = np.full(len(bodies), 1 << 40), np.full(len(bodies), -1)
-    for near in range(0, length, step):
-        far = min(near + step, length) - 1
+    for near, far in offset_ranges(length, step):
         begin, end = np.maximum(0, inside - far), np.minimum(starts - 1, inside - near)  # starts whose offset is in the range
         rows = np.flatnonzero(begin <= end)
         if not len(rows):
@@ -219,120 +223,91 @@ def repeats(pieces: list[bytes], starts: np.ndarray, ids: np.ndarray, places: np
     return piece[rows][later], start[rows][later]
 
 
-def _covers(ws: Workspace, docs: DataFrame, length: int) -> DataFrame:
-    """(d, cover array<struct<k, s, e>>): byte ranges of the text with key k that repeat something earlier."""
-    known = docs.filter("d is not null")
+def _covers(ws: Workspace, docs: DataFrame, many: bool, length: int) -> DataFrame:
+    """(d, v, cover array<struct<s, e>>): byte ranges of the document (d, v) that repeat something earlier."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "t", SLICE):
                 x = ByteSpans(batch.column("t"), length)
-                ids = batch.column("d").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(x.seed), pa.array(x.span), pa.array(ids[x.text]), pa.array(x.place.astype(np.int32))], names=["h", "sp", "d", "s"])
+                d, v = (batch.column(c).to_numpy()[x.text] for c in ("d", "v"))
+                yield pa.RecordBatch.from_arrays([pa.array(x.seed), pa.array(x.span), pa.array(d), pa.array(v), pa.array(x.place.astype(np.int32))], names=["h", "sp", "d", "v", "s"])
 
-    seen = ws.save(known.mapInArrow(seeds, "h long, sp long, d long, s int"), "seeds")
+    seen = ws.save(docs.mapInArrow(seeds, "h long, sp long, d long, v long, s int"), "seeds")
     shared = ws.save(seen.groupBy("h").count().filter("count > 1").select("h"), "shared")
     ws.release()
     found = ws.save(seen.join(shared.hint("merge"), "h"), "found")
     ws.drop("seeds", "shared")
     ws.release()
     where = F.struct("d", "s")
-    first = ws.save(found.groupBy("h", "sp").agg(F.min(where).alias("first")), "first")
-    several = ws.save(first.groupBy("h").count().filter("count > 1").select("h", (F.col("count") > HOT).alias("hot")), "several")
-    copies = found.join(first.hint("merge"), ["h", "sp"]).filter(where > F.col("first")).select("d", "s", "h", "sp", F.lit(0).alias("kind"))
-    distinct = first.join(several.hint("merge"), "h").select("first.d", "first.s", "h", "sp", F.when(F.col("hot"), 2).otherwise(1).alias("kind"))
-    marks = copies.union(distinct).groupBy("d").agg(F.collect_list(F.struct("s", "h", "sp", "kind")).alias("marks"))
+    first = ws.save(found.groupBy("h", "sp").agg(F.min(F.struct("d", "s", "v")).alias("first")), "first")
+    several = ws.save(first.groupBy("h").count().filter("count > 1").select("h"), "several")
+    before = F.struct("first.d", "first.s")
+    judged = found.join(first.hint("merge"), ["h", "sp"])
+    copies = judged.filter(where > before).select("d", "v", "s", "h", "sp", F.lit(0).alias("kind"))
+    distinct = first.select("first.d", "first.v", "first.s", "h", "sp")
+    if many:  # the same span at the same place of another text with the same id
+        distinct = distinct.union(judged.filter("v != 0 and v != first.v").filter(where == before).select("d", "v", "s", "h", "sp"))
+    distinct = distinct.join(several.hint("merge"), "h").select("d", "v", "s", "h", "sp", F.lit(1).alias("kind"))
+    marks = ws.save(copies.union(distinct).groupBy("d", "v").agg(F.collect_list(F.struct("s", "h", "sp", "kind")).alias("marks")), "marks")
+    ws.drop("found", "first", "several")
+    ws.release()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each marked span: its range (a copy), its bytes (one of several) or its strings' hashes (hot)."""
+        """Of each marked span its range (a copy) or its bytes (one of several)."""
         for big in batches:
             for batch in slices(big, "t", SLICE):
                 x = ByteSpans(batch.column("t"), length)
-                ids, raw = batch.column("d").to_numpy(zero_copy_only=False), x.data.tobytes()
-                row, marks = _lists(batch.column("marks"))
+                raw = x.data.tobytes()
+                row, marks = lists(batch.column("marks"))
                 order = x.text << 32 | x.place
-                at = np.searchsorted(order, row << 32 | _numbers(marks, "s").astype(np.int64))
-                there = at < len(order)
-                row, at = row[there], at[there]
-                h, sp, kind = (_numbers(marks, c)[there] for c in ("h", "sp", "kind"))
-                right = (x.text[at] == row) & (x.seed[at] == h) & (x.span[at] == sp)
-                kind, at = kind[right], at[right]
-                keys = {i: text_key(raw[x.offsets[i] : x.offsets[i + 1]]) for i in np.unique(x.text[at]).tolist()}
-                whole, bulk, hot = at[kind == 0], at[kind == 1], at[kind == 2]
-                many = x.starts[hot]
-                ends = np.cumsum(many)
-                each = np.repeat(hot, many)
-                start = np.arange(ends[-1] if len(ends) else 0) + np.repeat(x.begin[hot] - (ends - many), many)
-                span = np.concatenate([whole, bulk, each])
-                begin = np.concatenate([x.begin[whole], x.begin[bulk], start])
-                count = np.concatenate([x.starts[whole], x.starts[bulk], np.ones(len(each), np.int64)])
-                text = x.text[span]
-                n0, n1 = len(whole), len(whole) + len(bulk)
-                seed = pa.array(x.seed[span], mask=np.arange(len(span)) < n0)
-                w = np.zeros(len(span), np.int64)
-                w[n1:] = x.other.of(start, start + length).view(np.int64)
-                body = [None] * n0 + [raw[b : b + n - 1 + length] for b, n in zip(x.begin[bulk].tolist(), x.starts[bulk].tolist())] + [None] * len(each)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[text]), pa.array([keys[i] for i in text.tolist()], pa.int64()), pa.array((begin - x.offsets[text]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(x.inside[span].astype(np.int32)), seed, pa.array(w, mask=np.arange(len(span)) < n1), pa.array(body, pa.binary())],
-                    names=["d", "k", "s", "n", "o", "h", "w", "body"],
-                )
-
-    parts = ws.save(known.join(marks.hint("merge"), "d").mapInArrow(cut, "d long, k long, s int, n int, o int, h long, w long, body binary"), "parts")
-    ws.drop("found", "first", "several")
+                at = np.searchsorted(order, row << 32 | numbers(marks, "s").astype(np.int64))
+                h, sp, kind = (numbers(marks, c) for c in ("h", "sp", "kind"))
+                if not ((x.text[at] == row) & (x.seed[at] == h) & (x.span[at] == sp)).all():
+                    raise RuntimeError("a text changed between two reads of the input")
+                bulk = kind == 1
+                d, v = (batch.column(c).to_numpy()[row] for c in ("d", "v"))
+                body = [raw[b : b + n - 1 + length] if full else None for b, n, full in zip(x.begin[at].tolist(), x.starts[at].tolist(), bulk.tolist())]
+                columns = [pa.array(h), pa.array(d), pa.array(v), pa.array(x.place[at].astype(np.int32)), pa.array(x.starts[at].astype(np.int32)), pa.array(x.inside[at].astype(np.int32)), pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "d", "v", "s", "n", "o", "body"])
+
+    parts = ws.save(docs.join(marks.hint("merge"), ["d", "v"]).mapInArrow(cut, PIECE), "parts")
+    ws.drop("marks")
     ws.release()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Suffix arrays over whole seeds, about CHUNK bytes at a time; rows come sorted by seed."""
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.column("body").nbytes
-            if size >= CHUNK:
-                rows = pa.Table.from_batches(held).combine_chunks()
-                seed = rows.column("h").to_numpy()
-                full = int(np.searchsorted(seed == seed[-1], True))
-                if full:
-                    yield from late(rows.slice(0, full))
-                held, size = rows.slice(full).to_batches(), 0
-        if held:
-            yield from late(pa.Table.from_batches(held))
+        for rows in whole_keys(batches, CHUNK):
+            yield from late(rows)
 
     def late(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
-        d, k, s, n, o, h = (rows.column(c).to_numpy() for c in ("d", "k", "s", "n", "o", "h"))
+        h, d, v, s, n, o = (rows.column(c).to_numpy() for c in ("h", "d", "v", "s", "n", "o"))
         bodies = rows.column("body").to_pylist()
-        lo = 0
-        while lo < len(d):  # whole seeds up to CHUNK bytes
-            hi, size = lo, 0
-            while hi < len(d) and (size < CHUNK or h[hi] == h[hi - 1]):
-                size += len(bodies[hi])
-                hi += 1
-            first, lo = lo, hi
-            kept, skip, many = shared_parts(bodies[first:hi], n[first:hi].astype(np.int64), o[first:hi].astype(np.int64), h[first:hi], length)
-            if not len(kept):
-                continue
-            pieces = [bodies[first + i][a : a + m - 1 + length] for i, a, m in zip(kept.tolist(), skip.tolist(), many.tolist())]
-            piece, start = repeats(pieces, many, d[first + kept], s[first + kept] + skip, length)
-            if not len(piece):
-                continue
-            start, piece = start + skip[piece], kept[piece]
-            order = np.lexsort((start, piece))
-            piece, start = piece[order], start[order]
-            new = np.ones(len(piece), bool)
-            new[1:] = (piece[1:] != piece[:-1]) | (start[1:] != start[:-1] + 1)
-            a = np.flatnonzero(new)
-            b = np.append(a[1:], len(piece)) - 1
-            p = piece[a] + first
-            yield pa.RecordBatch.from_arrays([pa.array(d[p]), pa.array(k[p]), pa.array((s[p] + start[a]).astype(np.int32)), pa.array((s[p] + start[b] + length).astype(np.int32))], names=["d", "k", "s", "e"])
-
-    bulk = parts.filter("body is not null").select("h", "d", "k", "s", "n", "o", "body").repartition("h").sortWithinPartitions("h")
-    sorted_ = ws.save(bulk.mapInArrow(sort, "d long, k long, s int, e int"), "sorted")
-    hot = parts.filter("w is not null")
-    earliest = ws.save(hot.groupBy("h", "w").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first < last").select("h", "w", "first"), "earliest")
-    strings = hot.join(earliest.hint("merge"), ["h", "w"]).filter(where > F.col("first")).select("d", "k", "s", (F.col("s") + length).alias("e"))
-    copied = parts.filter("h is null").select("d", "k", "s", (F.col("s") + F.col("n") - 1 + length).alias("e"))
-    return copied.union(sorted_).union(strings).groupBy("d").agg(F.collect_list(F.struct("k", "s", "e")).alias("cover"))
+        kept, skip, many = shared_parts(bodies, n.astype(np.int64), o.astype(np.int64), h, length)
+        if not len(kept):
+            return
+        parts = [bodies[i][a : a + m - 1 + length] for i, a, m in zip(kept.tolist(), skip.tolist(), many.tolist())]
+        piece, start = repeats(parts, many, d[kept], s[kept] + skip, length)
+        if not len(piece):
+            return
+        start, piece = start + skip[piece], kept[piece]
+        order = np.lexsort((start, piece))
+        piece, start = piece[order], start[order]
+        new = np.ones(len(piece), bool)
+        new[1:] = (piece[1:] != piece[:-1]) | (start[1:] != start[:-1] + 1)
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(piece)) - 1
+        p = piece[a]
+        yield pa.RecordBatch.from_arrays([pa.array(d[p]), pa.array(v[p]), pa.array((s[p] + start[a]).astype(np.int32)), pa.array((s[p] + start[b] + length).astype(np.int32))], names=["d", "v", "s", "e"])
+
+    pieces, covers = uncrowd(ws, parts.filter("body is not null"), Bytes, length, ["d", "s"], CROWD)
+    dealt = pieces.repartition("h").sortWithinPartitions("h")
+    covers.append(ws.save(dealt.mapInArrow(sort, "d long, v long, s int, e int"), "sorted"))
+    covers.append(parts.filter("body is null").select("d", "v", "s", (F.col("s") + F.col("n") - 1 + length).alias("e")))
+    every = covers[0]
+    for c in covers[1:]:
+        every = every.union(c)
+    return every.groupBy("d", "v").agg(F.collect_list(F.struct("s", "e")).alias("cover"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
@@ -341,27 +316,24 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     Overlaps count; strings are judged on the input. Returns id_col, n_bytes, n_removed, spans (array of maximal removed
     byte ranges: start, n) and rest (binary: the remaining bytes, which need not be valid UTF-8). A null text counts as
     empty; texts shorter than ``length`` stay. Rows without an id are kept whole and take nothing from others; rows that
-    share an id are one document, so only a different place makes one of their strings later. Extra columns are ignored;
-    an empty table gives an empty result.
+    share an id are one document, so only a different place makes one of their strings later. Rows of one id and text
+    are judged once and each give a row. Extra columns are ignored; an empty table gives an empty result. A text longer
+    than SLICE is worked on in overlapping blocks.
     """
     ws = Workspace(docs.sparkSession, "suffix")
-    base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
-    covers = _covers(ws, base, length)
+    rows, documents, many = identified(ws, docs, id_col, text_col)
+    covers = _covers(ws, documents, many, length)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices(big, "t", SLICE):
                 data, offsets = flat_bytes(batch.column("t"))
                 raw, n = data.tobytes(), batch.num_rows
-                row, cover = _lists(batch.column("cover"))
+                row, cover = lists(batch.column("cover"))
                 depth = np.zeros(len(data) + 1, np.int32)
                 if len(row):
-                    keys = np.zeros(n, np.int64)
-                    for i in np.unique(row):
-                        keys[i] = text_key(raw[offsets[i] : offsets[i + 1]])
-                    right = keys[row] == _numbers(cover, "k")
-                    np.add.at(depth, offsets[row[right]] + _numbers(cover, "s")[right], 1)
-                    np.add.at(depth, offsets[row[right]] + _numbers(cover, "e")[right], -1)
+                    np.add.at(depth, offsets[row] + numbers(cover, "s"), 1)
+                    np.add.at(depth, offsets[row] + numbers(cover, "e"), -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 spans, rest, removed = [], [], []
                 for i in range(n):
@@ -380,7 +352,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                     names=["d", "n_bytes", "n_removed", "spans", "rest"],
                 )
 
-    out = base.join(covers.hint("merge"), "d", "left").mapInArrow(remove, "d long, n_bytes long, n_removed long, spans array<struct<start:int,n:int>>, rest binary")
+    out = rows.join(covers.hint("merge"), ["d", "v"], "left").mapInArrow(remove, "d long, n_bytes long, n_removed long, spans array<struct<start:int,n:int>>, rest binary")
     return out.withColumnRenamed("d", id_col)
 
 

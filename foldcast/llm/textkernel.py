@@ -44,6 +44,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def blocks(n: int, size: int, window: int) -> list[tuple[int, int]]:
+    """Ranges that together hold every run of ``window`` of n elements once: one, or, over twice ``size``, overlapping ones of ``size`` runs."""
+    if n <= 2 * size:
+        return [(0, n)]
+    return [(lo, min(n, lo + size + window - 1)) for lo in range(0, max(1, n - window + 1), size)]
+
+
 class Rolling:
     """Hashes of arbitrary spans of one sequence of 64-bit values."""
 

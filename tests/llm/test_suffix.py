@@ -46,7 +46,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize(("hot", "chunk"), [(4096, 1 << 19), (4, 1 << 19), (4096, 3000)])
 def test_equals_brute_force(spark, monkeypatch, hot, chunk):
-    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "CROWD", hot)
     monkeypatch.setattr(suffix, "CHUNK", chunk)
     rows = corpus(hot)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, cover int").repartition(3)
@@ -73,3 +73,30 @@ def test_ranks_are_the_inverse_suffix_array():
         for i in range(len(s)):
             for j in range(len(s)):
                 assert s[i : i + 5].tolist() >= s[j : j + 5].tolist() or short[i] < short[j]
+
+
+def wrapped(rng, middle, n):
+    """n texts that hold ``middle`` between words of their own, so that one seed has many distinct spans."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    return [" ".join(word() for _ in range(rng.randint(3, 30))) + middle + " ".join(word() for _ in range(rng.randint(3, 30))) for _ in range(n)]
+
+
+def test_one_seed_in_many_distinct_spans(spark, monkeypatch):
+    """Crowded keys are cut down to single strings; the same passage also stands with more of its surroundings in common."""
+    monkeypatch.setattr(suffix, "CROWD", 8)
+    rng = random.Random(9)
+    texts = wrapped(rng, " the passage that stands in all of them, of about one hundred and twenty bytes, is this one and no other ", 400)
+    texts += ["before " * 20 + t for t in texts[:200]] + wrapped(rng, "é" * 45 + "-" * 11, 300)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.rest)) for r in got), key=str) == brute(rows, 100)
+
+
+def test_repeated_rows_and_long_texts(spark, monkeypatch):
+    """Equal rows of one id, many texts of one id, and texts of several blocks."""
+    monkeypatch.setattr(suffix, "SLICE", 700)
+    rng = random.Random(10)
+    long = wrapped(rng, " ".join(wrapped(rng, "", 40)), 3)
+    rows = [(5, long[0])] * 1500 + [(6, long[0] + "x")] + [(7, t + long[1][300:900]) for t in wrapped(rng, long[0][100:400], 150)] + [(8, long[1]), (4, long[2]), (9, long[2] + long[2]), (None, long[0])]
+    got = suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.rest)) for r in got), key=str) == brute(rows, 100)
