@@ -1,12 +1,15 @@
 """Substring dedup by seed and extend over word sequences.
 
 Seeds: every window of ``window`` words picks the least-hashed SEED-word gram in it (leftmost on ties), so equal windows
-pick equal seeds at equal places. Consecutive windows with one seed form a span: the seed extended left and right as far
-as windows pick it. Documents are joined on seeds; seeds of one document only are dropped.
-Extension: if a span as a whole also stands in an earlier document, all its windows do. Only the first document of each
-distinct span of a seed with several spans is looked at window by window, so a group of copies costs one row a copy, not
-one a pair. Maximal repeats are the merged runs of matched windows.
-Hashes: seed and span, or seed and window, together 128 bits.
+pick equal anchors at equal places. Consecutive windows with one anchor form a span. Documents are joined on anchors;
+anchors of one document only are dropped. A span that stands as a whole in an earlier document too is a copy (told by 64
+bits of the anchor and 64 of the span), so a group of copies costs one row a copy, not one a pair.
+Extend: what is left of an anchor with several distinct spans goes, as text, to the task of that anchor. From the anchor
+the matches are walked word by word to the left and to the right: all spans that agree so far stay in one class, so the
+walk is linear in their words. Spans in one class on the left after j words and on the right after window - SEED - j words
+share a window; where the smallest id of such a class is smaller, the run of such windows is a maximal repeat with that
+document, and its bytes are compared before it counts.
+An anchor with over CROWD spans is dealt by more context first (pieces.uncrowd).
 """
 
 from __future__ import annotations
@@ -15,128 +18,155 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, read, slices
-from .textkernel import BASES, Rolling, Words, mixed, sliding_min
+from .common import Workspace, identified, read, slices
+from .pieces import PIECE, BodyWords, lists, numbers, uncrowd, whole_keys
+from .textkernel import BASES, Rolling, Words, blocks, mixed, sliding_min
 
 SEED, INDEX_BITS = 10, np.uint64(28)
-SLICE = 2 << 20
+SLICE, CROWD, CHUNK = 2 << 20, 256, 1 << 20
 
 
 class Spans:
-    """The spans of a batch of texts; ``begin`` and ``starts`` count words of the batch, ``place`` those of the text."""
+    """The spans of a batch of texts: begin (word of the batch), starts (windows in it), text, place (word of the text), inside (of the seed), seed, span."""
 
     def __init__(self, texts: pa.Array, window: int):
-        self.window, self.words = window, Words(texts)
-        n, seed = len(self.words), min(SEED, window)
-        values = self.words.hashes()
-        grams = Rolling(values, BASES[1])
-        self.other = Rolling(values, BASES[2])
-        text = self.words.text_of_word()
+        self.words = Words(texts)
+        values, text = self.words.hashes(), self.words.text_of_word()
+        parts = [self._block(lo, values[lo:hi], text[lo:hi], window) for lo, hi in blocks(len(values), SLICE // 2, window)]
+        self.begin, self.starts, self.inside, self.seed, self.span = (np.concatenate(c) for c in zip(*parts))
+        self.text = text[self.begin]
+        self.place = self.begin - self.words.first[self.text]
+
+    def _block(self, lo: int, values: np.ndarray, text: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+        """Spans of the windows of the words from ``lo`` on."""
+        n, seed = len(values), min(SEED, window)
         at = np.arange(max(0, n - window + 1))
         at = at[text[at] == text[at + window - 1]] if len(at) else at
         if not len(at):
-            self.begin = self.starts = self.text = self.place = np.zeros(0, np.int64)
-            self.seed = self.span = np.zeros(0, np.int64)
-            return
+            return tuple(np.zeros(0, np.int64) for _ in range(5))
         here = np.arange(n - seed + 1)
-        gram = grams.of(here, here + seed)
+        gram = Rolling(values, BASES[1]).of(here, here + seed)
         order = (gram >> INDEX_BITS << INDEX_BITS) | here.astype(np.uint64)
         chosen = (sliding_min(order, window - seed + 1)[at] & ((np.uint64(1) << INDEX_BITS) - np.uint64(1))).astype(np.int64)
         new = np.ones(len(at), bool)
         new[1:] = (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1) | (text[at[1:]] != text[at[:-1]])
         first = np.flatnonzero(new)
-        self.begin, self.starts = at[first], np.diff(np.append(first, len(at)))
+        begin, starts = at[first], np.diff(np.append(first, len(at)))
         picked = chosen[first]
-        self.text = text[self.begin]
-        self.place = self.begin - self.words.first[self.text]
-        self.seed = gram[picked].view(np.int64)
-        end = self.begin + self.starts - 1 + window
-        self.span = mixed(self.other.of(self.begin, end) ^ ((picked - self.begin).astype(np.uint64) << np.uint64(40))).view(np.int64)
-
-    def windows(self, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the given spans all windows: the span's number, the start in the batch, the hash."""
-        many = self.starts[spans]
-        ends = np.cumsum(many)
-        start = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[spans] - (ends - many), many)
-        return np.repeat(spans, many), start, self.other.of(start, start + self.window).view(np.int64)
-
-
-def text_key(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
-
-
-def _numbers(column: pa.Array, name: str) -> np.ndarray:
-    return column.field(name).to_numpy(zero_copy_only=False)
-
-
-def _lists(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
-    """For each entry of a column of lists the row it stands in, and the entries."""
-    sizes = np.array([x or 0 for x in pa.compute.list_value_length(column).to_pylist()], np.int64)
-    return np.repeat(np.arange(len(column)), sizes), column.flatten()
-
-
-def repeated_windows(ws: Workspace, docs: DataFrame, window: int) -> DataFrame:
-    """(d, cover array<struct<k, s, e>>): for each id the word ranges [s, e) of the text with key k that stand in a smaller id too."""
-    known = docs.filter("d is not null")
+        span = mixed(Rolling(values, BASES[2]).of(begin, begin + starts - 1 + window) ^ ((picked - begin).astype(np.uint64) << np.uint64(40)))
+        return begin + lo, starts, picked - begin, gram[picked].view(np.int64), span.view(np.int64)
+
+
+def _walk(group: np.ndarray, words: np.ndarray, seat: np.ndarray, reach: np.ndarray, step: int, most: int) -> list[np.ndarray]:
+    """For 0, 1, .. most words from ``seat`` on: the class of each row among those that agree so far, -1 beyond its reach."""
+    out, top = [group], int(words.max(initial=0)) + 1
+    for t in range(most):
+        rows = np.flatnonzero(reach > t)
+        now = np.full(len(group), -1)
+        now[rows] = np.unique(out[-1][rows] * top + words[seat[rows] + step * t], return_inverse=True)[1]
+        out.append(now)
+    return out
+
+
+def extend(h: np.ndarray, d: np.ndarray, n: np.ndarray, o: np.ndarray, bodies: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first window, last window) of the runs of windows of a row that a row of the same key and a smaller d holds too."""
+    units, seed = BodyWords(bodies), min(SEED, window)
+    group = np.unique(h, return_inverse=True)[1]
+    first, most = units.first[:-1], window - seed
+    seat, right = first + o, n - 1 + window - o - seed
+
+    def runs(words: np.ndarray) -> tuple[np.ndarray, ...]:
+        lefts, rights = _walk(group, words, seat - 1, o, -1, most), _walk(group, words, seat + seed, right, 1, most)
+        found = [(np.zeros(0, np.int64),) * 3]
+        for j in range(most + 1):
+            rows = np.flatnonzero((lefts[j] >= 0) & (rights[most - j] >= 0))
+            if not len(rows):
+                continue
+            which = np.unique(lefts[j][rows] * (len(h) + 1) + rights[most - j][rows], return_inverse=True)[1]
+            order = np.lexsort((rows, d[rows], which))
+            lead = order[np.flatnonzero(np.concatenate([[True], which[order][1:] != which[order][:-1]]))][which]
+            late = d[rows] > d[rows[lead]]
+            found.append((rows[late], o[rows[late]] - j, rows[lead[late]]))
+        row, at, by = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((at, row))
+        row, at, by = row[order], at[order], by[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (by[1:] != by[:-1])
+        a = np.flatnonzero(new)
+        return row[a], at[a], at[np.append(a[1:], len(row)) - 1] if len(row) else at, by[a]
+
+    row, lo, hi, by = runs(np.unique(units.values, return_inverse=True)[1])
+    mine, other = first[row] + lo, first[by] + o[by] - o[row] + lo
+    size = hi - lo + window
+    if units.between(mine, mine + size) != units.between(other, other + size):  # two words share a hash: number the words by their bytes
+        number: dict[bytes, int] = {}
+        every = np.arange(len(units.values))
+        row, lo, hi, by = runs(np.array([number.setdefault(w, len(number)) for w in units.between(every, every + 1)], np.int64))
+    return row, lo, hi
+
+
+def _covers(ws: Workspace, docs: DataFrame, window: int) -> DataFrame:
+    """(d, v, cover array<struct<s, e>>): the word ranges of the document (d, v) that stand in a smaller id too."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "t", SLICE):
                 x = Spans(batch.column("t"), window)
-                ids = batch.column("d").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(x.seed), pa.array(x.span), pa.array(ids[x.text]), pa.array(x.place.astype(np.int32))], names=["h", "sp", "d", "s"])
+                d, v = (batch.column(c).to_numpy()[x.text] for c in ("d", "v"))
+                yield pa.RecordBatch.from_arrays([pa.array(x.seed), pa.array(x.span), pa.array(d), pa.array(v), pa.array(x.place.astype(np.int32))], names=["h", "sp", "d", "v", "s"])
 
-    seen = ws.save(known.mapInArrow(seeds, "h long, sp long, d long, s int"), "seeds")
+    seen = ws.save(docs.mapInArrow(seeds, "h long, sp long, d long, v long, s int"), "seeds")
     by_seed = seen.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), (F.min("sp") == F.max("sp")).alias("one")).filter("lo < hi").select("h", "lo", "one")
     shared = ws.save(by_seed, "shared")
     ws.release()
-    found = ws.save(seen.join(shared, "h").select("h", "sp", "d", "s", F.when(F.col("one"), F.col("lo")).alias("lo")), "found")
-    ws.drop("seeds")
+    found = ws.save(seen.join(shared, "h").select("h", "sp", "d", "v", "s", F.when(F.col("one"), F.col("lo")).alias("lo")), "found")
+    ws.drop("seeds", "shared")
     ws.release()
     several = found.filter("lo is null").drop("lo")
     first = ws.save(several.groupBy("h", "sp").agg(F.min("d").alias("lo")), "first")
-    judged = several.join(first, ["h", "sp"]).select("d", "s", "h", "sp", (F.col("d") > F.col("lo")).alias("whole"))
-    judged = judged.union(found.filter("lo < d").select("d", "s", "h", "sp", F.lit(True)))
-    marks = judged.groupBy("d").agg(F.collect_list(F.struct("s", "h", "sp", "whole")).alias("marks"))
+    judged = several.join(first, ["h", "sp"]).select("d", "v", "s", "h", "sp", (F.col("d") > F.col("lo")).alias("whole"))
+    judged = judged.union(found.filter("lo < d").select("d", "v", "s", "h", "sp", F.lit(True)))
+    marks = ws.save(judged.groupBy("d", "v").agg(F.collect_list(F.struct("s", "h", "sp", "whole")).alias("marks")), "marks")
+    ws.drop("found", "first")
+    ws.release()
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each marked span its range (a copy) or its words."""
         for big in batches:
             for batch in slices(big, "t", SLICE):
                 x = Spans(batch.column("t"), window)
-                ids = batch.column("d").to_numpy(zero_copy_only=False)
-                keys = np.array([text_key((t or "").encode()) for t in batch.column("t").to_pylist()], np.int64)
-                row, marks = _lists(batch.column("marks"))
-                order = x.text << 32 | x.place
-                at = np.searchsorted(order, row << 32 | _numbers(marks, "s").astype(np.int64))
-                there = at < len(order)
-                row, at = row[there], at[there]
-                h, sp, whole = (_numbers(marks, c)[there] for c in ("h", "sp", "whole"))
-                same = (x.text[at] == row) & (x.seed[at] == h) & (x.span[at] == sp)
-                whole, at = whole[same].astype(bool), at[same]
-                full, (span, start, hashes) = at[whole], x.windows(at[~whole])
-                text = np.concatenate([x.text[full], x.text[span]])
-                first = np.concatenate([x.begin[full], start]) - x.words.first[text]
-                size = np.concatenate([x.starts[full] - 1 + window, np.full(len(span), window)])
-                none = np.zeros(len(text), bool)
-                none[: len(full)] = True
-                fill = np.zeros(len(full), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[text]), pa.array(keys[text]), pa.array(first.astype(np.int32)), pa.array((first + size).astype(np.int32)), pa.array(np.concatenate([fill, x.seed[span]]), mask=none), pa.array(np.concatenate([fill, hashes]), mask=none)],
-                    names=["d", "k", "s", "e", "h", "w"],
-                )
-
-    parts = ws.save(known.join(marks, "d").mapInArrow(extend, "d long, k long, s int, e int, h long, w long"), "parts")
-    ws.drop("found", "first", "shared")
+                row, marks = lists(batch.column("marks"))
+                at = np.searchsorted(x.text << 32 | x.place, row << 32 | numbers(marks, "s").astype(np.int64))
+                h, sp, whole = (numbers(marks, c) for c in ("h", "sp", "whole"))
+                if not ((x.text[at] == row) & (x.seed[at] == h) & (x.span[at] == sp)).all():
+                    raise RuntimeError("a text changed between two reads of the input")
+                d, v = (batch.column(c).to_numpy()[row] for c in ("d", "v"))
+                raw = x.words.data.tobytes()
+                begin, end = x.words.starts[x.begin[at]].tolist(), x.words.ends[x.begin[at] + x.starts[at] - 2 + window].tolist()
+                body = [None if w else b" ".join(raw[a:b].split()) for a, b, w in zip(begin, end, whole.tolist())]
+                columns = [pa.array(h), pa.array(d), pa.array(v), pa.array(x.place[at].astype(np.int32)), pa.array(x.starts[at].astype(np.int32)), pa.array(x.inside[at].astype(np.int32)), pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "d", "v", "s", "n", "o", "body"])
+
+    parts = ws.save(docs.join(marks.hint("merge"), ["d", "v"]).mapInArrow(cut, PIECE), "parts")
+    ws.drop("marks")
     ws.release()
-    windows = parts.filter("h is not null")
-    earlier = ws.save(windows.groupBy("h", "w").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select("h", "w", "lo"), "earlier")
-    late = windows.join(earlier, ["h", "w"]).filter("d > lo").select("d", "k", "s", "e")
-    return parts.filter("h is null").select("d", "k", "s", "e").union(late).groupBy("d").agg(F.collect_list(F.struct("k", "s", "e")).alias("cover"))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_keys(batches, CHUNK):
+            rows = rows.combine_chunks()
+            h, d, v, s, n, o = (rows.column(c).to_numpy() for c in ("h", "d", "v", "s", "n", "o"))
+            row, lo, hi = extend(h, d, n.astype(np.int64), o.astype(np.int64), rows.column("body").combine_chunks(), window)
+            yield pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(v[row]), pa.array((s[row] + lo).astype(np.int32)), pa.array((s[row] + hi + window).astype(np.int32))], names=["d", "v", "s", "e"])
+
+    pieces, covers = uncrowd(ws, parts.filter("body is not null"), BodyWords, window, ["d"], CROWD)
+    covers.append(ws.save(pieces.repartition("h").sortWithinPartitions("h").mapInArrow(match, "d long, v long, s int, e int"), "matched"))
+    every = parts.filter("body is null").select("d", "v", "s", (F.col("s") + F.col("n") - 1 + window).alias("e"))
+    for c in covers:
+        every = every.union(c)
+    return every.groupBy("d", "v").agg(F.collect_list(F.struct("s", "e")).alias("cover"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
@@ -145,28 +175,24 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     Words are maximal runs of bytes other than space and 0x09-0x0D. Windows are judged on the input. Returns id_col,
     n_words, n_removed, spans (array of removed word ranges: start, n) and text (the kept words joined by one space).
     A null text has no words and becomes an empty text. Texts shorter than a window stay. Rows without an id are
-    kept whole and take nothing from others; rows that share an id don't take from one another. Extra columns are
-    ignored, an empty table gives an empty result.
+    kept whole and take nothing from others; rows that share an id don't take from one another. Rows of one id and text
+    are judged once and each give a row. Extra columns are ignored, an empty table gives an empty result. The windows of
+    a text longer than SLICE are worked on in overlapping blocks.
     """
     ws = Workspace(docs.sparkSession, "substring")
-    base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
-    covers = repeated_windows(ws, base, window)
+    rows, documents, _ = identified(ws, docs, id_col, text_col)
+    covers = _covers(ws, documents, window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices(big, "t", SLICE):
                 words, n = Words(batch.column("t")), batch.num_rows
-                row, cover = _lists(batch.column("cover"))
+                row, cover = lists(batch.column("cover"))
                 depth = np.zeros(len(words) + 1, np.int64)
                 raw = words.data.tobytes()
                 if len(row):
-                    keys = np.zeros(n, np.int64)
-                    for i in np.unique(row):
-                        keys[i] = text_key(raw[words.offsets[i] : words.offsets[i + 1]])
-                    right = keys[row] == _numbers(cover, "k")
-                    at = words.first[row[right]]
-                    np.add.at(depth, at + _numbers(cover, "s")[right], 1)
-                    np.add.at(depth, at + _numbers(cover, "e")[right], -1)
+                    np.add.at(depth, words.first[row] + numbers(cover, "s"), 1)
+                    np.add.at(depth, words.first[row] + numbers(cover, "e"), -1)
                 gone = np.cumsum(depth)[:-1] > 0
                 texts, spans, removed = [], [], []
                 for i in range(n):
@@ -186,7 +212,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                     names=["d", "n_words", "n_removed", "spans", "text"],
                 )
 
-    out = base.join(covers, "d", "left").mapInArrow(cut, "d long, n_words long, n_removed long, spans array<struct<start:int,n:int>>, text string")
+    out = rows.join(covers, ["d", "v"], "left").mapInArrow(cut, "d long, n_words long, n_removed long, spans array<struct<start:int,n:int>>, text string")
     return out.withColumnRenamed("d", id_col)
 
 
