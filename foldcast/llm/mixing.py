@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, read
 
-#: op4, whose SQL says so, repeats no source more often than this on average; ``mix`` has no such limit of its own.
-MOST_EPOCHS = 16.0
 #: A higher rate is drawn as a sum of equal parts of at most this rate, as exp(-rate) must not vanish.
 PART = 512.0
 TEMPERATURE, SEED = 0.5, "mix-1"
@@ -75,22 +73,28 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
 
 def op4(spark, sf_dir: str) -> DataFrame:
     """Every drawn copy of every document, sources tempered to the square root of their size."""
-    return mix(read(spark, sf_dir, "documents"), most_epochs=MOST_EPOCHS).select("doc_id", "source", "copy", "mix_key", "text")
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "mix_key", "text")
+
+
+def _unit_sql(parts: str) -> str:
+    return f"(CAST(CAST('0x' || substr(md5('{SEED}|' || {parts}), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0"
 
 
 OP4_SQL = f"""
 WITH RECURSIVE s AS (SELECT source, CAST(coalesce(sum(length(text)), 0) AS DOUBLE) AS size FROM documents GROUP BY 1),
 g AS (SELECT source, size, CASE WHEN size > 0 THEN pow(size, {TEMPERATURE}) ELSE 0.0 END AS goal FROM s),
 t AS (SELECT sum(size) AS all_size, sum(goal) AS all_goal FROM g),
-r AS (SELECT source, CASE WHEN size > 0 THEN least({MOST_EPOCHS}, goal / all_goal * CAST(1.0 AS DOUBLE) * all_size / size) ELSE 1.0 END AS rate FROM g, t),
+w AS (SELECT source, CASE WHEN size > 0 THEN goal / all_goal * CAST(1.0 AS DOUBLE) * all_size / size ELSE 1.0 END AS whole FROM g, t),
+r AS (SELECT source, greatest(1, CAST(ceil(whole / {PART}) AS INTEGER)) AS parts, whole / greatest(1, CAST(ceil(whole / {PART}) AS INTEGER)) AS rate FROM w),
 c AS (
   SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM r
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM c WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
 ),
 l AS (SELECT source, list(c ORDER BY k) AS cdf FROM c GROUP BY 1),
-d AS (SELECT d.doc_id, d.source, d.text, coalesce(CAST(d.doc_id AS VARCHAR), 'null') AS who, l.cdf FROM documents d JOIN l ON d.source IS NOT DISTINCT FROM l.source),
-n AS (SELECT *, len(list_filter(cdf, lambda x: x < (CAST(CAST('0x' || substr(md5('{SEED}|' || who), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)) AS n FROM d),
+d AS (SELECT d.doc_id, d.source, d.text, coalesce(CAST(d.doc_id AS VARCHAR), 'null') AS who, l.cdf, r.parts FROM documents d JOIN l ON d.source IS NOT DISTINCT FROM l.source JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+n AS (SELECT *, len(list_filter(cdf, lambda x: x < {_unit_sql("who")}))
+  + CAST(coalesce(list_sum(list_transform(range(2, parts + 1), lambda j: len(list_filter(cdf, lambda x: x < {_unit_sql("who || '|' || j")})))), 0) AS BIGINT) AS n FROM d),
 e AS (SELECT doc_id, source, text, who, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM n)
 SELECT doc_id, source, copy, md5('{SEED}|order|' || who || '|' || copy) AS mix_key, text FROM e
 """

@@ -47,7 +47,7 @@ def brute_mix(rows):
     total, goal = sum(size.values()), sum(v**0.5 for v in size.values())
     out = []
     for r in rows:
-        rate = min(16.0, size[r[3]] ** 0.5 / goal * total / size[r[3]]) if size[r[3]] else 1.0
+        rate = size[r[3]] ** 0.5 / goal * total / size[r[3]] if size[r[3]] else 1.0
         u = (int(hashlib.md5(f"mix-1|{r[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         out += [r] * poisson(u, rate)
     return out
