@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, read
+from .common import read
 
 WINDOW = 3
 
@@ -33,28 +33,28 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     An empty table gives an empty result.
 
     Windows are pre-aggregated before they are shuffled; occurrences meet the first one in a join between two shuffled
-    scans, which adaptive execution splits where a window is very common. The join of the texts is a merge join at every
-    size, so that what it costs follows the input.
+    scans, which adaptive execution splits where a window is very common. The texts meet their covered windows in a join
+    that builds its table from the windows, so texts are neither sorted nor held. The plan is one query without written
+    tables: a lost executor costs the stages whose shuffle files it held.
     """
-    ws = Workspace(docs.sparkSession, "lines")
     base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
     windows = _windows(base)
     where = F.struct("d", "pos")
-    repeated = ws.save(windows.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first < last").select("h1", "h2", "first"), "repeated")
-    ws.release()
-    later = windows.join(repeated, ["h1", "h2"]).filter(F.struct("d", "pos") > F.col("first"))
-    covered = ws.save(later.groupBy("d", "k").agg(F.collect_set("pos").alias("at")), "covered")
-    ws.release()
-    text, n = F.col(text_col).cast("string"), F.size("__lines")
-    parts = docs.drop("n_lines", "n_removed").withColumn("__d", F.col(id_col).cast("long")).withColumn("__k", F.xxhash64(text))
-    joined = parts.join(covered.select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.col("at").alias("__at")).hint("merge"), ["__d", "__k"], "left").withColumn("__lines", F.split(text, "\n"))
-    gone = F.flatten(F.transform("__at", lambda p: F.sequence(p, p + WINDOW - 1)))
-    kept = F.array_except(F.sequence(F.lit(0), n - 1), gone)
-    out = joined.withColumn("__kept", F.when(F.col("__at").isNotNull(), kept))
-    new = F.when(F.col("__kept").isNull(), text).otherwise(F.array_join(F.transform("__kept", lambda i: F.col("__lines")[i]), "\n"))
-    columns = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    lines = F.when(text.isNull(), 0).otherwise(n).cast("long").alias("n_lines")
-    return out.select(*columns, lines, F.when(F.col("__kept").isNull(), 0).otherwise(n - F.size("__kept")).cast("long").alias("n_removed"))
+    repeated = windows.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first < last").select("h1", "h2", "first")
+    later = windows.join(repeated.hint("merge"), ["h1", "h2"]).filter(where > F.col("first"))
+    covered = later.groupBy("d", "k").agg(F.collect_set("pos").alias("at"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col])  # so that no name of an input column clashes
+    whole = docs.select(rest.alias("row"), F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
+    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    joined = whole.join(covered.hint("shuffle_hash"), ["d", "k"], "left").select("row", "text", "at", F.when(F.col("text").isNull(), 0).otherwise(n).alias("n"))
+    gone = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + WINDOW - 1))))
+    marked = joined.select("row", "text", "n", F.when(F.col("at").isNotNull(), F.array_except(F.sequence(F.lit(0), F.col("n") - 1), gone)).alias("kept"))
+    without = F.transform(F.array(F.split("text", "\n")), lambda lines: F.array_join(F.transform("kept", lambda i: F.element_at(lines, i + 1)), "\n"))
+    new = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.element_at(without, 1))
+    shown = [new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns]
+    removed = F.when(F.col("kept").isNull(), 0).otherwise(F.col("n") - F.size("kept"))
+    return marked.select(*shown, F.col("n").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

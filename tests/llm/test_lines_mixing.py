@@ -73,3 +73,11 @@ def test_counts_are_poisson(spark):
     assert out.filter("source = 'a'").count() / 3000 == pytest.approx(1 / 3, abs=0.05)
     assert out.columns == ["doc_id", "text", "source", "copy", "mix_key"]
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_lines_keep_columns_whose_names_clash(spark):
+    rows = [(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd\ne"), (2, "a\nb\nc\nd\ne"), (3, None)]
+    docs = spark.createDataFrame([(d, t, 1, 2, 3, "x") for d, t in rows], "doc_id long, text string, d int, at int, k int, `row.a` string")
+    got = lines.dedup(docs)
+    assert got.columns == ["doc_id", "text", "d", "at", "k", "row.a", "n_lines", "n_removed"]
+    assert sorted([tuple(r) for r in got.collect()], key=str) == sorted([(1, rows[0][1], 1, 2, 3, "x", 4, 0)] + [(2, "e", 1, 2, 3, "x", 5, 4)] * 2 + [(3, None, 1, 2, 3, "x", 0, 0)], key=str)
