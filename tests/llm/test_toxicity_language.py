@@ -1,4 +1,6 @@
 import random
+import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,58 @@ def test_machine_learns_pairs_and_holds_out(spark, tmp_path):
     assert all(r.predicted == 0 for r in got if r.doc_id in (9001, 9002))
 
 
+def learned(spark, rows, test):
+    """Predictions for ``test`` of a machine that is fitted to (text, label) rows, none of them held out."""
+    ids = [i for i in range(5 * len(rows)) if zlib.crc32(str(i).encode()) % 4 != 2][: len(rows)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in zip(ids, rows)], "doc_id long, text string")
+    machine = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, rows)], "doc_id long, toxic int"))
+    return machine, machine.scores(pa.array([t for t, _ in test]))
+
+
+def test_machine_learns_what_no_term_tells_alone(spark):
+    """Toxic if just one of two words is there: each of them tells nothing by itself."""
+    rng, rows = random.Random(4), []
+    for _ in range(2500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((text(rng, ["blorp"] * a + ["quaxy"] * b), int(a != b)))
+    machine, scores = learned(spark, rows[:2000], rows[2000:])
+    assert ((scores >= 0.5) == np.array([y for _, y in rows[2000:]])).mean() > 0.97
+    assert len(machine.buckets) < 20
+
+
+def test_machine_learns_rare_insults(spark):
+    """Ten insults in one of forty toxic texts each."""
+    rng, rows = random.Random(7), []
+    insults = ["grub", "skaz", "plonker", "wretchling", "drongo", "muckface", "zitbag", "toadlet", "nitwitty", "oafish"]
+    for i in range(2600):
+        bad = i % 4 == 0
+        rows.append((text(rng, [rng.choice(insults)] * bad), int(bad)))
+    _, scores = learned(spark, rows[:2000], rows[2000:])
+    truth = np.array([y for _, y in rows[2000:]])
+    assert (scores[truth == 1] >= 0.3).mean() > 0.95 and (scores[truth == 0] >= 0.3).mean() < 0.02
+
+
+def test_shuffled_labels_teach_nothing(spark):
+    rng = random.Random(8)
+    rows = [(text(rng), rng.randint(0, 1)) for _ in range(800)]
+    machine, scores = learned(spark, rows, rows)
+    assert len(machine.buckets) <= 3 and abs(scores.mean() - 0.5) < 0.1
+
+
+def test_scores_equal_the_sum_over_pairs():
+    rng = np.random.default_rng(1)
+    words = ["trash", "trashy", "é1", "no", "somewhat", "zz"]
+    texts = ["Trash trashy, TRASHY", None, "", "é1 trash no", "somewhat zz  zz unknown", "no no"]
+    every = np.unique(np.concatenate([b for _, b in [toxicity.buckets(pa.array([w])) for w in words]]))
+    machine = toxicity.Machine(every, -0.3, rng.normal(0, 1, len(every)), rng.normal(0, 1, (len(every), toxicity.FACTORS)))
+    for t, got in zip(texts, machine.scores(pa.array(texts))):
+        parts = {p.encode()[:n] for p in re.findall(r"\w+", (t or "").lower()) for n in (99, 4, 5, 6) if n == 99 or len(p.encode()) > n}
+        here = {int(next(toxicity.terms(pa.array([p.decode()])))[1][0] >> np.uint64(64 - toxicity.BITS)) for p in parts}  # a part as a word of its own
+        at = [int(np.flatnonzero(every == b)[0]) for b in sorted(here) if b in every]
+        z = machine.bias + sum(machine.weights[i] for i in at) + sum(machine.factors[i] @ machine.factors[j] for i in at for j in at if i < j)
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_terms_are_found_whatever_the_slice():
     texts = pa.array(["Trash trashy, TRASHY", None, "", "é trash"])
     words = {h for row, hs in toxicity.terms(texts) for r, h in zip(row, hs) if r == 0}
