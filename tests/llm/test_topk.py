@@ -17,7 +17,6 @@ def vectors():
 
 def test_equals_sql(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 100)
-    monkeypatch.setattr(topk, "QUERIES", 4)
     monkeypatch.setattr(topk, "FIRST_LEVELS", 2)
     spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, rank int").write.parquet(str(tmp_path / "embeddings.parquet"))
     db = duckdb.connect()
@@ -30,12 +29,16 @@ def test_equals_sql(spark, tmp_path, monkeypatch):
 def test_stops_early_and_stays_exact():
     rng = np.random.default_rng(3)
     x = np.sort(rng.integers(-50, 50, (5000, 3)), axis=0) + rng.integers(-3, 3, (5000, 3))
-    order, ids = x.argsort(axis=0), np.arange(5000)
+    ids = np.arange(5000)
+    block = topk.Block(ids, x)
     for own in range(0, 5000, 500):
-        got = topk.threshold_search(x, order, ids, x[own], own, 5)
         scores = x @ x[own]
         want = [i for i in np.lexsort((ids, -scores)) if i != own][:5]
-        assert got[0].tolist() == want and got[1].tolist() == scores[want].tolist()
+        for floor in (None, int(scores[want[-1]]), int(scores[want[1]])):
+            got = block.best(x[own], own, 5, floor)
+            above = [i for i in want if floor is None or scores[i] >= floor]
+            assert got[0].tolist() == above and got[1].tolist() == scores[above].tolist()
+    assert block.scored < 30 * 5000 / 4
 
 
 def test_few_rows_and_large_numbers(spark):
