@@ -7,7 +7,7 @@
 3. In a bucket, each fingerprint has a row of Hamming distances to PIVOTS reference fingerprints. By the triangle
    inequality a pair whose rows differ by more than ``radius`` in some coordinate is discarded; survivors are verified.
    A bucket gives a spanning star of each of its linked groups, not all its pairs.
-4. Components over those links.
+4. Components over those links and over the classes that share an id.
 """
 
 from __future__ import annotations
@@ -140,24 +140,23 @@ def links(ws: Workspace, classes: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """(id_col, fp long, component_id): the smallest id reachable over fingerprints that differ in ``radius`` bits or fewer.
 
-    The id column is a whole number. A null or empty text has the fingerprint 0 and links like any other. A row without
-    an id keeps its fingerprint, takes part in no link and has a null component. Repeated rows each give a row. Extra
-    columns are not looked at; an empty table gives an empty result.
+    The id column is a whole number. A null or empty text has the fingerprint 0 and links like any other. Rows that share
+    an id are one document: an id with several texts links all their fingerprints. A row without an id keeps its
+    fingerprint, takes part in no link and has a null component. Repeated rows each give a row. Extra columns are not
+    looked at; an empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession, "simhash")
     fps = ws.save(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", words), "fps")
-    classes = ws.save(fps.filter("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    roots = components(ws, links(ws, classes, radius))
-    placed = ws.save(classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "placed")
-    ws.drop("classes", "large")
-    out = fps.join(placed, "fp", "left").select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
-    return out
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicate component, and rows without an id; columns as they were."""
-    found = near_duplicates(docs, id_col, text_col, words, radius).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(found.hint("merge"), docs[id_col] == found["__gone"], "left_anti")
+    known = fps.filter("id is not null")
+    classes = ws.save(known.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    several = ws.save(known.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a < top").select("id", "a"), "several")
+    shared = known.join(several, "id").filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
+    roots = components(ws, links(ws, classes.select("fp", F.col("fp").alias("rep")), radius).union(shared))
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    placed = ws.save(rooted.join(least, "root").select("fp", "component_id"), "placed")
+    ws.drop("classes", "large", "several")
+    return fps.join(placed, "fp", "left").select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

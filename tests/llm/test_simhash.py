@@ -86,11 +86,15 @@ def test_components_of_long_paths(spark):
     assert got == roots({x for l in links for x in l}, links)
 
 
-def test_keep_one_and_empty(spark):
-    rows = [(3, "a b c d"), (1, "a b c d"), (2, "other words here entirely"), (None, "a b c d"), (1, "a b c d")]
-    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, component_id string")
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted([r.doc_id for r in kept.collect()], key=str) == [1, 1, 2, None]
-    assert simhash.keep_one(docs.limit(0)).count() == 0
+def test_an_id_with_two_texts_links_their_classes(spark):
+    rng = random.Random(3)
+    a, z, y = (" ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(50)) for _ in range(3))
+    rows = [(5, a), (9, a), (9, z), (20, z), (30, y), (30, z), (31, y)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 7 and len({r.fp for r in got}) == 3
+    assert {r.component_id for r in got} == {5}
+
+
+def test_empty(spark):
+    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert np.array_equal(simhash.bucket_links(np.zeros(0, np.int64), np.zeros(0, np.uint64), 3)[0], [])
