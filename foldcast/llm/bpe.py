@@ -52,6 +52,25 @@ def point_kinds() -> np.ndarray:
     return _KINDS[0]
 
 
+def _check(spec: dict) -> None:
+    """Raise if a vocabulary file asks for what this coder doesn't do, as its ids would differ without a word."""
+    model, before, after = (spec.get(k) or {} for k in ("model", "pre_tokenizer", "decoder"))
+    odd = {
+        "model": model.get("type", "BPE") != "BPE",
+        "normalizer": spec.get("normalizer") is not None,
+        "pre_tokenizer": before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True),
+        "decoder": after.get("type") != "ByteLevel",
+        "dropout": model.get("dropout"),
+        "continuing_subword_prefix": model.get("continuing_subword_prefix"),
+        "end_of_word_suffix": model.get("end_of_word_suffix"),
+        "byte_fallback": model.get("byte_fallback"),
+        "ignore_merges": model.get("ignore_merges"),
+        "added_tokens": any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }
+    if found := [k for k, v in odd.items() if v]:
+        raise ValueError(f"the vocabulary file has settings that are not supported: {', '.join(found)}")
+
+
 class _Pieces(dict):
     """piece -> its ids as packed int32; computed when missing, emptied when full."""
 
@@ -73,6 +92,7 @@ class Coder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         letters = byte_letters()
         vocab = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if all(c in letters for c in token)}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]

@@ -1,6 +1,8 @@
+import json
 import random
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from foldcast.llm import bpe
@@ -31,3 +33,13 @@ def test_empty_table_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
     assert bpe.encode(docs.limit(0), PATH).count() == 0
     assert bpe.encode(docs, PATH).first().doc_id is None
+
+
+@pytest.mark.parametrize(("part", "value"), [("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("decoder", None), ("model", {"type": "BPE", "ignore_merges": True})])
+def test_other_settings_are_refused(tmp_path, part, value):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec[part] = {**spec["model"], **value} if part == "model" else value
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="ignore_merges" if part == "model" else part):
+        bpe.Coder(str(tmp_path / "other.json"))
