@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from .test_lines_mixing import brute as brute_lines
-from .test_simhash import brute as brute_simhash
+from .test_similar import brute as groups
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -68,7 +68,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert {r[0] for r in rows} - {r[0] for r in clean} == {r[0] for r in rows if "vermin" in (r[1] or "")}
     assert sorted([(r[0], r[1]) for r in lines]) == sorted([(d, t) for d, _, _, t in brute_lines([r[:2] for r in clean])])
     assert all(r[4] == (None if r[1] is None else len(r[1])) for r in lines)
-    kept = {d for d, _, c in brute_simhash([r[:2] for r in lines]) if d == c}
+    kept = {min(g, key=lambda r: r[0])[0] for g in groups([r[:2] for r in lines])}
     assert sorted(near, key=str) == sorted([r for r in lines if r[0] in kept], key=str)
     assert sorted(mixed, key=str) == sorted(brute_mix(near), key=str)
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -78,3 +78,17 @@ def test_stages_equal_brute_force(spark, tmp_path):
         want.append((r[0], len(ids), ids, hashlib.sha256((r[1] or "").encode()).hexdigest()))
     assert sorted(coded, key=str) == sorted(want, key=str)
     assert sorted([tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()], key=str) == sorted(want, key=str)
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    none = spark.createDataFrame([], COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    more = ", d long, k string, at int, __i int, copy int, score string, __row int"
+    docs = spark.createDataFrame([(i, t, "en", "s", 3, 7, "k", 2, 5, 6, "0.5", 9) for i, t in ((1, "a b c d"), (2, "a b c d"), (3, None), (None, "x"))], COLUMNS + more)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        rest = {tuple(r)[5:] for r in out.collect()}
+        assert rest == {(7, "k", 2, 5, 6, "0.5", 9)}, name
