@@ -1,7 +1,7 @@
 """Language ID of mixed texts: script ranges narrow the candidates, Viterbi over words with a switching penalty labels spans.
 
 Each word gets for each language the sum of the log-probabilities of its lower-cased byte n-grams (1 to 3 bytes, with
-word edges), learned from at most TEXTS texts a language. A word of a script in which a language was hardly ever seen
+word edges), learned from at most TEXTS texts of each of the LANGUAGES most frequent labels. A word of a script in which a language was hardly ever seen
 rules that language out for the word, unless no language is left. The best path through the words of a text pays
 PENALTY for each change of language; its runs are the spans. The text's language is the one with most letters in spans.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .bpe import point_kinds
 from .common import Workspace, flat_bytes, held_out, read, slices
 
-TEXTS, GRAMS, SIZES, PENALTY, SMOOTHING, SLICE = 2000, 1 << 16, (1, 2, 3), 8.0, 0.5, 4 << 20
+TEXTS, LANGUAGES, GRAMS, SIZES, PENALTY, SMOOTHING, SLICE = 2000, 256, 1 << 16, (1, 2, 3), 8.0, 0.5, 4 << 20
 #: A script is a candidate's if it had at least this share of the language's letters in training.
 LEAST_SHARE, OUT = 0.005, -40.0
 #: First code points of script ranges (Unicode blocks) and the script that starts there; 0 is common.
@@ -62,9 +62,11 @@ class _Text:
         word_byte[self.start] += 1
         np.subtract.at(word_byte, self.end, 1)
         self.bytes[inner] = lower[np.cumsum(word_byte[:-1]) > 0]
+        self.counts = np.ones(len(self.bytes), bool)
+        self.counts[self.at] = False
 
     def grams(self, size: int) -> np.ndarray:
-        """For each marked byte the number of the gram of ``size`` bytes that ends there (it may reach over the word's start: see score)."""
+        """For each marked byte the number of the gram of ``size`` bytes that ends there; those that end at a word's first mark reach into the word before and don't count."""
         h = np.zeros(len(self.bytes), np.uint32)
         for k in range(size):
             part = self.bytes if k == 0 else np.concatenate([np.full(k, _EDGE, np.uint32), self.bytes[:-k]])
@@ -92,6 +94,7 @@ class Model:
             each = np.zeros(len(text.bytes), np.float32)
             for g in grams:
                 each += self.table[k][g]
+            each[text.at] = 0
             out[:, k] = np.add.reduceat(each, text.at)
         fits = self.allowed[:, text.script].T
         fits |= ~fits.any(1)[:, None]
@@ -131,15 +134,16 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the texts of rows that are not held out and have a language; about TEXTS a language, chosen by a hash of the id.
 
-    Counts of grams are summed on the executors; the model has GRAMS numbers a language, whatever the input.
+    Only the LANGUAGES most frequent labels are learned (ties go to the first by name), so junk labels don't make the model
+    grow. Counts of grams are summed on the executors; the model has GRAMS numbers a language, whatever the input.
     Without any such row the model has no language and every prediction is ``und``.
     """
     ws = Workspace(docs.sparkSession, "language")
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter("t is not null and l is not null").filter(~held_out("d"))
-    sizes = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
-    languages = sorted(sizes)
-    share = F.coalesce(*[F.when(F.col("l") == l, F.lit(TEXTS / n)) for l, n in sizes.items()], F.lit(0.0))
-    picked = rows.filter(F.pmod(F.xxhash64("d", F.lit("language")), F.lit(1 << 30)) / (1 << 30) < share)
+    sizes = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
+    languages = sorted(r.l for r in sizes)
+    share = docs.sparkSession.createDataFrame([(r.l, TEXTS / r["count"]) for r in sizes], "l string, share double")
+    picked = rows.join(F.broadcast(share), "l").filter(F.pmod(F.xxhash64("d", F.lit("language")), F.lit(1 << 30)) / (1 << 30) < F.col("share")).select("d", "t", "l")
     number = {l: i for i, l in enumerate(languages)}
     scripts = len(SCRIPTS)
 
@@ -151,9 +155,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 word = lang[text.row]
                 keys = [word * (GRAMS + scripts) + GRAMS + text.script]
                 weights = [text.letters]
-                owner = np.repeat(word, text.end - text.start + 2)
+                owner = np.repeat(word, text.end - text.start + 2)[text.counts]
                 for size in SIZES:
-                    keys.append(owner * (GRAMS + scripts) + text.grams(size))
+                    keys.append(owner * (GRAMS + scripts) + text.grams(size)[text.counts])
                     weights.append(np.ones(len(owner), np.int64))
                 key, at = np.unique(np.concatenate(keys), return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.bincount(at, np.concatenate(weights), len(key)).astype(np.int64))], names=["k", "n"])

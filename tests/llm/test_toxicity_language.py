@@ -149,3 +149,63 @@ def test_path_equals_plain_viterbi():
         value = lambda p: sum(scores[w, s] for w, s in zip(mine, p)) - language.PENALTY * sum(a != b for a, b in zip(p, p[1:]))
         best = max(value(p) for p in np.ndindex(*[3] * len(mine)))
         assert abs(value(path[mine]) - best) < 1e-6
+
+
+def plain_gram(points, size):
+    """The number of a gram, given from its last byte backwards; 0x100 is the edge of a word."""
+    h = 0
+    for b in points[:size]:
+        h = (h * 0x01000193 + b + size) & 0xFFFFFFFF
+    h ^= h >> 15
+    return ((h * 0x2C1B3C6D & 0xFFFFFFFF) >> 16) & (language.GRAMS - 1)
+
+
+def plain_words(t):
+    """(letters, script, gram numbers) of each word of a text."""
+    import regex
+
+    out = []
+    for w in regex.findall(r"\p{L}+", t or ""):
+        point = ord(w[len(w) // 2])
+        script = [s for first, s in language.RANGES if first <= point][-1]
+        marked = [0x100, 0x100, 0x100, *(b + 32 if 65 <= b <= 90 else b for b in w.encode()), 0x100]
+        out.append((len(w), script, [plain_gram(marked[i::-1], size) for i in range(3, len(marked)) for size in language.SIZES]))
+    return out
+
+
+def test_languages_equal_a_plain_version(spark):
+    """Gram counts, script gate, paths and scores of the whole query, row by row."""
+    rng = random.Random(12)
+    bank = {"en": EN, "de": DE, "ru": RU}
+    rows = [(i, " ".join(prose(rng, bank[rng.choice("en de ru".split())], rng.randint(1, 9)) for _ in range(rng.randint(1, 4))) + rng.choice(["", " 漢字", " 12!", " Été"]), rng.choice(["en", "de", "ru", None])) for i in range(160)]
+    rows += [(400, None, "en"), (401, "", "de"), (402, "...", None)]
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, lang string, score double").repartition(3)
+    names = ["de", "en", "ru"]
+    counts, letters = {l: np.full(language.GRAMS, language.SMOOTHING) for l in names}, {l: np.zeros(len(language.SCRIPTS)) for l in names}
+    for d, t, l in rows:
+        if l and t and zlib.crc32(str(d).encode()) % 4 != 2:
+            for n, script, grams in plain_words(t):
+                letters[l][script] += n
+                np.add.at(counts[l], grams, 1)
+    logs = {l: np.log(counts[l] / counts[l].sum()) for l in names}
+    got = {r.doc_id: r for r in language.identify(docs, language.fit(docs)).collect()}
+    for d, t, _ in rows:
+        words = plain_words(t)
+        if not words:
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        paths = {l: (0.0, []) for l in names}
+        for n, script, grams in words:
+            fits = [l for l in names if script == 0 or letters[l][script] > language.LEAST_SHARE * letters[l].sum()] or names
+            value = {l: logs[l][grams].sum() + (0 if l in fits else language.OUT * n) for l in names}
+            paths = {l: max(((v - language.PENALTY * bool(p and p[-1] != l) + value[l], [*p, l]) for v, p in paths.values()), key=lambda x: x[0]) for l in names}
+        path = max(paths.values(), key=lambda x: x[0])[1]
+        share = {l: sum(w[0] for w, p in zip(words, path) if p == l) / sum(w[0] for w in words) for l in names}
+        assert abs(share[got[d].lang_pred] - max(share.values())) < 1e-9 and abs(got[d].score - max(share.values())) < 1e-9
+
+
+def test_junk_labels_do_not_grow_the_model(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    rng = random.Random(1)
+    rows = [(i, prose(rng, EN if i % 2 else DE, 20), "en" if i % 2 else "de") for i in range(80)] + [(100 + i, "zzz", f"junk{i}") for i in range(50)]
+    assert language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["de", "en"]
