@@ -4,7 +4,8 @@ A payload becomes an 8-bit greyscale PNG, 192 samples a row. Tasks write PNGs in
 compressed already) in the shared folder and report each finished archive; only reported archives are read, so what a
 lost or repeated task leaves behind is ignored. The data source cuts every archive into byte ranges; the task of a
 range takes the members of the archive's central directory whose offset is in it, and streams them in Arrow batches of
-bounded size. A member that can't be read is tried again by its offset on a fresh handle, without the others.
+bounded size. A member that can't be read is tried again by its offset on a fresh handle, without the others; one that
+stays damaged fails the read, or, if so asked, becomes a row with an error instead of a payload.
 """
 
 from __future__ import annotations
@@ -121,6 +122,7 @@ class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.manifest = options["path"], options["manifest"]
         self.tries = int(options.get("tries", TRIES))
+        self.keep = options.get("damaged", "fail") == "keep"
         self.step = int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
 
     def partitions(self) -> list[_Range]:
@@ -132,7 +134,8 @@ class MediaReader(DataSourceReader):
         ranges = [_Range(a, lo, lo + self.step) for a, n in zip(*(found.column(c).to_pylist() for c in ("archive", "bytes"))) for lo in range(0, n, self.step)] if found is not None else []
         return ranges or [_Range("", 0, 0)]
 
-    def _member(self, path: str, fs, info: zipfile.ZipInfo) -> tuple[bytes, bytes]:
+    def _member(self, path: str, fs, info: zipfile.ZipInfo) -> tuple[bytes | None, bytes | None, str | None]:
+        """(stored form, payload, error) of one member by its offset alone."""
         for attempt in range(self.tries):
             try:
                 with fs.open_input_file(path) as f:
@@ -144,9 +147,11 @@ class MediaReader(DataSourceReader):
                     body = f.read(info.compress_size)
                 if zlib.crc32(body) != info.CRC:
                     raise ValueError("checksum differs")
-                return body, samples(body)
-            except (OSError, ValueError, zlib.error, struct.error):
+                return body, samples(body), None
+            except (OSError, ValueError, zlib.error, struct.error) as e:
                 if attempt == self.tries - 1:
+                    if self.keep:
+                        return None, None, f"{type(e).__name__}: {e}"
                     raise
         raise AssertionError
 
@@ -167,12 +172,12 @@ class MediaReader(DataSourceReader):
                     body = f.read(m.compress_size)
                     if zlib.crc32(body) != m.CRC:
                         raise ValueError("checksum differs")
-                    payload = samples(body)
+                    payload, error = samples(body), None
                 except (OSError, ValueError, zlib.error, struct.error):
-                    body, payload = self._member(path, fs, m)
+                    body, payload, error = self._member(path, fs, m)
                 who, length = m.filename.removesuffix(".png").split("-", 1)[1].rsplit("_", 1)
-                held.append((int(who) if who else None, int(length), partition.archive, m.header_offset, body, payload))
-                size += len(body) + len(payload)
+                held.append((int(who) if who else None, int(length), partition.archive, m.header_offset, body, payload, error))
+                size += len(body or b"") + len(payload or b"")
                 if size >= BATCH_BYTES:
                     yield _batch(held)
                     held, size = [], 0
@@ -180,8 +185,8 @@ class MediaReader(DataSourceReader):
             yield _batch(held)
 
 
-SCHEMA = "doc_id long, n_bytes long, archive string, offset long, media binary, payload binary"
-_TYPES = (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()))
+SCHEMA = "doc_id long, n_bytes long, archive string, offset long, media binary, payload binary, error string"
+_TYPES = (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("error", pa.string()))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -189,7 +194,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class MediaSource(DataSource):
-    """Options: path (folder of the archives), manifest (Parquet folder that lists them), rangeBytes, tries."""
+    """Options: path (folder of the archives), manifest (Parquet folder that lists them), rangeBytes, tries, damaged (fail or keep).
+
+    With damaged = keep a member that can't be read after all tries has an error and neither media nor payload.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -218,13 +226,16 @@ def features(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([feature(p) for p in batch.column("payload").to_pylist()], pa.string())], names=[*batch.schema.names, "feature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if p is None else feature(p) for p in batch.column("payload").to_pylist()], pa.string())], names=[*batch.schema.names, "feature"])
 
     return media.mapInArrow(run, SCHEMA + ", feature string")
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every whole text as an image and read it back: doc_id, n_bytes, archive, offset, media, payload, feature.
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", damaged: str = "fail") -> DataFrame:
+    """Store every whole text as an image and read it back: doc_id, n_bytes, archive, offset, media, payload, error, feature.
+
+    A member that is damaged for good fails the read, or with damaged = "keep" has an error and neither media, payload nor
+    feature; error is null otherwise.
 
     The payload is the text's UTF-8 bytes and spaces up to a positive multiple of 192; a null text counts as empty. A
     null id comes back null; repeated rows each give a member. Extra columns are ignored; an empty table gives an empty
@@ -233,7 +244,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     ws = Workspace(spark, "media")
     ws.save(write_archives(docs, ws.path("archives"), id_col, text_col), "manifest")
-    return features(load(spark, ws.path("archives"), ws.path("manifest")))
+    return features(load(spark, ws.path("archives"), ws.path("manifest"), damaged=damaged))
 
 
 def load(spark: SparkSession, archives: str, manifest: str, **options: str) -> DataFrame:
