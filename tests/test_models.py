@@ -269,3 +269,120 @@ def test_linear_models_meet_their_optimality_conditions():
         w = estimators.ElasticNet(alpha, ratio).fit(x, y).coef
         pull = xc.T @ (yc - xc @ w) / 60 - alpha * (1 - ratio) * w
         assert np.allclose(pull[w != 0], alpha * ratio * np.sign(w[w != 0]), atol=1e-6) and (np.abs(pull[w == 0]) <= alpha * ratio + 1e-6).all()
+
+
+def test_a_forest_of_one_whole_tree_is_the_tree():
+    """Without random rows, features or thresholds; weights of rows count as repeated rows (two features may part these alike)."""
+    rng = np.random.default_rng(2)
+    for n in (20, 47, 120):
+        x, y, new = rng.normal(size=(n, 4)).round(1), rng.normal(size=(n, 3)), rng.normal(size=(60, 4))
+        y += x[:, :3]
+        forest = estimators.Forest(3, 4, 6, 3, 1.0, False, False).fit(x, y)
+        assert np.allclose(forest.predict(new), estimators.DecisionTree(4, 6, 3, 0.0, 0.0).fit(x, y).predict(new))
+        boot = estimators.Forest(1, 4, 6, 3, 1.0, True, False, seed=n).fit(x, y)
+        rows = np.random.default_rng(n).integers(0, n, n)
+        assert np.allclose(boot.predict(x[rows]), estimators.DecisionTree(4, 6, 3, 0.0, 0.0).fit(x[rows], y[rows]).predict(x[rows]))
+
+
+def test_extra_trees_cut_inside_the_node_and_keep_their_leaves():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(80, 3)), rng.normal(size=(80, 2))
+    f = estimators.Forest(50, 5, 20, 10, 0.8).fit(x, y)
+    for tree in range(50):
+        node = np.zeros(80, int)
+        while (f.feature[tree, node] >= 0).any():
+            inner = f.feature[tree, node] >= 0
+            low = x[np.arange(80), np.maximum(0, f.feature[tree, node])] <= f.cut[tree, node]
+            node = np.where(inner, 2 * node + np.where(low, 1, 2), node)
+        assert np.bincount(node)[np.unique(node)].min() >= 10
+        for leaf in np.unique(node):
+            assert np.allclose(f.value[tree, leaf], y[node == leaf].mean(0))
+
+
+def test_trees_equal_the_trees_of_mllib(spark):
+    """One output, no pruning: MLlib tries the same midpoints where its bins are as many as the values."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(90, 3))
+    y = np.where(x[:, 0] > 0.2, 2.0, 0.0) + 0.5 * x[:, 1] + rng.normal(0, 0.1, 90)
+    frame = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(spark.createDataFrame([(*map(float, r), float(v), i) for i, (r, v) in enumerate(zip(x, y))], "a double, b double, c double, label double, i int"))
+    model = DecisionTreeRegressor(maxDepth=3, maxBins=128, minInstancesPerNode=8).fit(frame)
+    want = np.array([r.prediction for r in model.transform(frame).orderBy("i").collect()])
+    assert np.allclose(estimators.DecisionTree(3, 16, 8, 0.0, 0.0).fit(x, y).predict(x)[:, 0], want)
+    assert np.allclose(estimators.Forest(1, 3, 16, 8, 1.0, False, False).fit(x, y).predict(x)[:, 0], want)
+
+
+def test_pruning_cuts_the_weakest_links():
+    """Every subtree that stays lowers the impurity by more than alpha a leaf, and what is cut does not."""
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(200, 2)), rng.normal(size=(200, 1))
+    y[:, 0] += 3 * (x[:, 0] > 0)
+    full, cut = estimators.DecisionTree(6, 10, 5, 0.0, 0.0).fit(x, y), estimators.DecisionTree(6, 10, 5, 0.0, 0.05).fit(x, y)
+
+    def links(tree, at=0):
+        node = tree.nodes[at]
+        if node[0] < 0:
+            return node[5], 1, []
+        (c1, l1, a), (c2, l2, b) = links(tree, node[2]), links(tree, node[3])
+        return c1 + c2, l1 + l2, [*a, *b, (node[5] - c1 - c2) / (l1 + l2 - 1)]
+
+    assert min(links(full)[2]) <= 0.05 < min(links(cut)[2])
+    assert links(cut)[1] < links(full)[1] and cut.nodes[0][0] == full.nodes[0][0]
+
+
+def test_gaussian_process_is_the_posterior_mean():
+    """By the conditional of the joint normal distribution, one point after another."""
+    rng = np.random.default_rng(5)
+    x, y, new = rng.normal(size=(12, 2)), rng.normal(size=(12, 2)), rng.normal(size=(4, 2))
+    got = estimators.GaussianProcess(0.7, 0.01).fit(x, y).predict(new)
+    k = lambda a, b: math.exp(-sum((p - q) ** 2 for p, q in zip(a, b)) / (2 * 0.7**2))
+    for j in range(2):
+        mean, spread = y[:, j].mean(), y[:, j].std()
+        cov = np.array([[k(a, b) + 0.01 * (i == h) for h, b in enumerate(x)] for i, a in enumerate(x)])
+        for i, point in enumerate(new):
+            cross = np.array([k(point, a) for a in x])
+            assert got[i, j] == pytest.approx(mean + spread * (cross @ np.linalg.inv(cov) @ ((y[:, j] - mean) / spread)))
+
+
+def test_pls_of_all_components_is_least_squares_and_one_component_is_the_covariance():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(50, 3)), rng.normal(size=(50, 1))
+    y[:, 0] += x @ [1.0, -2.0, 0.5]
+    assert np.allclose(estimators.Pls(3).fit(x, y).predict(x), ols(x, y, x))
+    a, b = (x - x.mean(0)) / x.std(0, ddof=1), (y - y.mean(0)) / y.std(0, ddof=1)
+    w = a.T @ b / np.linalg.norm(a.T @ b)
+    t = a @ w
+    want = t @ (t.T @ b) / (t.T @ t) * y.std(0, ddof=1) + y.mean(0)
+    assert np.allclose(estimators.Pls(1).fit(x, y).predict(x), want)
+
+
+def test_lars_paths_end_where_their_optima_are():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(60, 4)), rng.normal(size=(60, 2))
+    assert np.allclose(estimators.Lars().fit(x, y).predict(x), ols(x, y, x))
+    w = estimators.LassoLars(0.05).fit(x, y).coef
+    pull = (x - x.mean(0)).T @ (y - y.mean(0) - (x - x.mean(0)) @ w) / 60
+    assert (w != 0).any() and np.allclose(pull[w != 0], 0.05 * np.sign(w[w != 0]), atol=1e-6) and (np.abs(pull[w == 0]) <= 0.05 + 1e-6).all()
+
+
+def test_per_output_trees_split_for_their_output_alone():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 2))
+    y = np.column_stack([x[:, 0] > 0, x[:, 1] > 0]).astype(float)
+    both = estimators.regressor("decision_tree", per_output=True, max_depth=1).fit(x, y)
+    assert np.allclose(both.predict(x), y)
+    assert not np.allclose(estimators.regressor("decision_tree", max_depth=1).fit(x, y).predict(x), y)
+    one = estimators.regressor("decision_tree", max_depth=1).fit(x, y[:, 1])
+    assert np.allclose(both.predict(x)[:, 1], one.predict(x)[:, 0])
+
+
+def test_knn_and_radius_against_sorted_distances():
+    rng = np.random.default_rng(6)
+    x, y, new = rng.normal(size=(30, 2)), rng.normal(size=(30, 2)), rng.normal(size=(5, 2))
+    for q, near, inside in zip(new, estimators.Knn(3).fit(x, y).predict(new), estimators.RadiusNeighbors(0.8).fit(x, y).predict(new)):
+        d = [math.dist(q, a) for a in x]
+        assert np.allclose(near, y[sorted(range(30), key=lambda i: d[i])[:3]].mean(0))
+        here = [i for i in range(30) if d[i] <= 0.8]
+        assert np.allclose(inside, y[here].mean(0)) if here else np.isnan(inside).all()
