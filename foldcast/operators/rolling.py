@@ -3,8 +3,8 @@
 Every origin looks at a bounded stretch of rows. Origins are cut into runs of ORIGINS and each row of the panel goes to
 the runs that look at it (about lookback / ORIGINS + 1 of them); a run is one group of one Python task. Nothing is
 broadcast and no task sees the whole panel, so runs, panels and lookbacks scale by adding tasks. Inside a task the
-fits are numpy; choice and forecast of an origin need one pass. The table of fold errors is there too, with its
-selection as a DataFrame aggregation.
+fits are numpy; choice and forecast of an origin need one pass. Fold s of one origin is fold s - 1 of the next, so a run
+fits each slice once. The table of fold errors is there too, with its selection as a DataFrame aggregation.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,25 +47,28 @@ def _runs(assets: DataFrame, confounders: DataFrame | None, spec: WindowSpec, n:
     return rows.withColumn("run", F.explode(runs))
 
 
-def _each_origin(assets, confounders, spec, schema: str, work: Callable[[np.ndarray, np.ndarray | None, int, int], Iterator[tuple]]) -> DataFrame:
-    """Apply work(y, w, base, origin) over the origins; y[base] is the row t = 0 of the panel (base may be negative)."""
+_ARROW = {"int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
+
+
+def _each_origin(assets, confounders, spec, schema: str, work: Callable[[np.ndarray, np.ndarray | None, int, int, dict], Iterator[tuple]]) -> DataFrame:
+    """Apply work(y, w, base, origin, memo) over the origins; y[base] is the row t = 0 of the panel (base may be negative), memo lasts for a run."""
     n = assets.agg((F.max("t") + 1).alias("n")).first().n or 0
     spec.origins(n)
-    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
+    types = [tuple(c.strip().split(" ")) for c in schema.split(",")]
     has_w = confounders is not None
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        t0, out = int(rows.t.iloc[0]), []
-        if int(rows.t.iloc[-1]) - t0 + 1 != len(rows):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("t")
+        t, out, memo = rows.column("t").to_numpy(), [], {}
+        if t[-1] - t[0] + 1 != len(t):
             raise ValueError("a date is missing or repeated in the panel")
-        y = np.stack(rows.y.to_numpy()).astype(float)
-        w = np.stack(rows.w.to_numpy()).astype(float) if has_w else None
-        for d in range(max(spec.lookback, int(key[0]) * ORIGINS), min(n - 1, (int(key[0]) + 1) * ORIGINS)):
-            out += work(y, w, -t0, d)
-        return pd.DataFrame(out, columns=columns)
+        y, w = (rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) if c == "y" or has_w else None for c in "yw")
+        first = key[0].as_py() * ORIGINS
+        for d in range(max(spec.lookback, first), min(n - 1, first + ORIGINS)):
+            out += work(y, w, -int(t[0]), d, memo)
+        return pa.table([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(zip(*out) if out else [()] * len(types), types)], names=[name for name, _ in types])
 
-    return _runs(assets, confounders, spec, n).groupBy("run").applyInPandas(run, schema)
+    return _runs(assets, confounders, spec, n).groupBy("run").applyInArrow(run, schema)
 
 
 def _design(y, w, lo, hi, p):
@@ -95,19 +98,21 @@ class _Grid:
         self.spec, self.fit, self.metric, self.how = spec, fit, METRICS[metric], how
         self.cells = [(p, a, i) for p in range(1, p_max + 1) for i, a in enumerate(alphas)]
 
-    def error(self, y, w, base, d, p, a, s) -> float:
+    def error(self, y, w, base, d, p, a, s, memo) -> float:
         lo, hi = self.spec.fold(d, s)
-        yy, t, c = _design(y, w, lo + base, hi + base, p)
-        return self.metric(yy[-1:], self.fit(yy[:-1], t[:-1], c[:-1], t[-1:], c[-1:], a))
+        if (lo, hi, p, a) not in memo:
+            yy, t, c = _design(y, w, lo + base, hi + base, p)
+            memo[lo, hi, p, a] = self.metric(yy[-1:], self.fit(yy[:-1], t[:-1], c[:-1], t[-1:], c[-1:], a))
+        return memo[lo, hi, p, a]
 
-    def errors(self, y, w, base, d):
+    def errors(self, y, w, base, d, memo):
         for p, a, i in self.cells:
             for s in range(self.spec.days_valid):
-                yield d, p, a, i, s, self.error(y, w, base, d, p, a, s)
+                yield d, p, a, i, s, self.error(y, w, base, d, p, a, s, memo)
 
-    def forecast(self, y, w, base, d):
+    def forecast(self, y, w, base, d, memo):
         total = np.mean if self.how == "mean" else np.sum
-        scored = [(float(total([self.error(y, w, base, d, p, a, s) for s in range(self.spec.days_valid)])), p, i, a) for p, a, i in self.cells]
+        scored = [(float(total([self.error(y, w, base, d, p, a, s, memo) for s in range(self.spec.days_valid)])), p, i, a) for p, a, i in self.cells]
         err, p, _, a = min(scored, key=lambda x: (np.isnan(x[0]), *x[:3]))
         lo, hi = self.spec.final(d)
         yy, t, c = _design(y, w, lo + base, hi + base, p)
@@ -171,7 +176,7 @@ def oracle_var(assets: DataFrame, confounders: DataFrame | None, lookback: int =
     spec = WindowSpec(lookback, 0, 1)
     model = {"model_y": model_y, "model_t": model_t, "folds": cv_folds, "y_params": y_params, "t_params": t_params, "profile": profile}
 
-    def work(y, w, base, d):
+    def work(y, w, base, d, memo):
         lo, hi = spec.final(d)
         got = choose_lags(y[lo + base : hi + base + 1], w[lo + base : hi + base + 1], p_max, significance, **model)
         yield d, hi, got["p_opt"], got["treatment"], got["control"], got["max_confound_lag"], got["rank"], got["y_hat"].tolist()
