@@ -1,57 +1,81 @@
 """Univariate rolling forecasts as window aggregates: AR(1), AR(1) with one exogenous lag, AR(2), neighbours and means.
 
 A frame of the L rows before the target is exactly the training slice of a lag-1 model; a lag-p model starts p - 1 rows
-later. Everything stays in Catalyst; windows are partitioned by series.
+later. The sums of a regression over a frame are differences of running sums of centred values, so a row costs the same
+whatever L is. Everything stays in Catalyst; windows are partitioned by series.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import combinations_with_replacement
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lags import lag_long
 
+#: A variance under this share of the running sum of squares is a rounding error of a constant.
+NOTHING = 1e-12
+
 
 def _frame(first: int):
     return Window.partitionBy("series").orderBy("t").rowsBetween(-first, -1)
 
 
-def one_regressor(y: str, x: str, first: int) -> Column:
-    """Forecast of the current row by a line fitted on the ``first`` rows before it."""
-    w = _frame(first)
-    slope = F.when(F.regr_sxx(y, x).over(w) > 0, F.regr_slope(y, x).over(w)).otherwise(0.0)
-    mean_y, mean_x = F.avg(F.when(F.col(x).isNotNull(), F.col(y))).over(w), F.avg(F.when(F.col(y).isNotNull(), F.col(x))).over(w)
-    return mean_y + slope * (F.col(x) - mean_x)
-
-
-def two_regressors(y: str, x: str, z: str, first: int) -> Column:
-    """Forecast of the current row by a plane fitted on the ``first`` rows before it (2 by 2 normal equations)."""
-    w = _frame(first)
-    c = lambda a, b: F.covar_pop(a, b).over(w)
-    sxx, szz, sxz, sxy, szy = c(x, x), c(z, z), c(x, z), c(x, y), c(z, y)
-    det = sxx * szz - sxz * sxz
-    a, b = (sxy * szz - szy * sxz) / det, (szy * sxx - sxy * sxz) / det
-    mean = lambda v: F.avg(v).over(w)
-    return F.when(det > 0, mean(y) + a * (F.col(x) - mean(x)) + b * (F.col(z) - mean(z)))
+def fitted(rows: DataFrame, y: str, regressors: list[str], first: int, out: str) -> DataFrame:
+    """``rows`` with the forecast ``out`` of y by a line or plane over one or two regressors, fitted on the ``first`` rows before each.
+
+    Rows where y or a regressor is null take no part in a fit. A constant regressor gets the slope 0; two that depend on
+    each other give no forecast.
+    """
+    names, kept = [y, *regressors], rows.columns
+    series = Window.partitionBy("series")
+    order = series.orderBy("t")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    known = F.lit(True)
+    for c in names:
+        known = known & F.col(c).isNotNull()
+    centred = rows.select("*", F.when(known, 1).otherwise(0).alias("_n"), *[F.avg(F.when(known, F.col(c))).over(series).alias(f"_m{i}") for i, c in enumerate(names)])
+    centred = centred.select("*", *[F.when(F.col("_n") == 1, F.col(c) - F.col(f"_m{i}")).otherwise(0.0).alias(f"_c{i}") for i, c in enumerate(names)])
+    terms = {"n": F.col("_n")} | {str(i): F.col(f"_c{i}") for i in range(len(names))}
+    terms |= {f"{i}{j}": F.col(f"_c{i}") * F.col(f"_c{j}") for i, j in combinations_with_replacement(range(len(names)), 2) if j}
+    summed = centred.select("*", *[F.sum(v).over(running).alias(f"_u{k}") for k, v in terms.items()])
+    inside = summed.select("*", *[(F.lag(f"_u{k}", 1).over(order) - F.coalesce(F.lag(f"_u{k}", first + 1).over(order), F.lit(0))).alias(f"_s{k}") for k in terms])
+    n, mean = F.col("_sn"), lambda i: F.try_divide(f"_s{i}", "_sn")
+
+    def s(i: int, j: int):
+        i, j = min(i, j), max(i, j)
+        return F.col(f"_s{i}{j}") - F.col(f"_s{i}") * mean(j)
+
+    ahead = lambda i: F.col(names[i]) - F.col(f"_m{i}") - mean(i)
+    base = F.when(n > 0, F.col("_m0") + mean(0))
+    if len(regressors) == 1:
+        slope = F.when(s(1, 1) > NOTHING * F.col("_u11"), F.try_divide(s(0, 1), s(1, 1))).otherwise(0.0)
+        guess = base + slope * ahead(1)
+    else:
+        det = s(1, 1) * s(2, 2) - s(1, 2) * s(1, 2)
+        one, two = F.try_divide(s(0, 1) * s(2, 2) - s(0, 2) * s(1, 2), det), F.try_divide(s(0, 2) * s(1, 1) - s(0, 1) * s(1, 2), det)
+        guess = F.when(det > NOTHING * F.col("_u11") * F.col("_u22"), base + one * ahead(1) + two * ahead(2))
+    return inside.select(*kept, guess.alias(out))
 
 
 def ar1(panel: DataFrame, lookback: int) -> DataFrame:
     """(t, series, f) for the targets t = L+1 .. N-1."""
-    return lag_long(panel, 1).withColumn("f", one_regressor("value", "lag1", lookback)).filter(F.col("t") > lookback).select("t", "series", "f")
+    return fitted(lag_long(panel, 1), "value", ["lag1"], lookback, "f").filter(F.col("t") > lookback).select("t", "series", "f")
 
 
 def arx1(panel: DataFrame, exogenous: DataFrame, lookback: int) -> DataFrame:
     """AR(1) with lag 1 of one exogenous series (t, x)."""
     w = Window.partitionBy("series").orderBy("t")
     rows = lag_long(panel.join(exogenous.select("t", "x"), "t"), 1).withColumn("x1", F.lag("x", 1).over(w))
-    return rows.withColumn("f", two_regressors("value", "lag1", "x1", lookback)).filter(F.col("t") > lookback).select("t", "series", "f")
+    return fitted(rows, "value", ["lag1", "x1"], lookback, "f").filter(F.col("t") > lookback).select("t", "series", "f")
 
 
 def fold_forecasts(panel: DataFrame, lookback: int, days_valid: int) -> DataFrame:
     """(t, series, value, f1, f2): what fold fits of AR(1) and AR(2) with target t forecast."""
     m = lookback - days_valid + 1
     rows = lag_long(panel, 2)
-    rows = rows.withColumn("f1", one_regressor("value", "lag1", m - 1)).withColumn("f2", two_regressors("value", "lag1", "lag2", m - 2))
+    rows = fitted(fitted(rows, "value", ["lag1"], m - 1, "f1"), "value", ["lag1", "lag2"], m - 2, "f2")
     return rows.filter(F.col("t") >= m).select("t", "series", "value", "f1", "f2")
 
 
@@ -72,7 +96,7 @@ def best_lag(errors: DataFrame) -> DataFrame:
 def lag_selected(panel: DataFrame, lookback: int, days_valid: int, n: int) -> DataFrame:
     """(origin, t, series, p_opt, f): AR(1) or AR(2), whichever had the least fold error, refitted at each origin."""
     chosen = best_lag(fold_errors(fold_forecasts(panel, lookback, days_valid), lookback, days_valid, n))
-    rows = lag_long(panel, 2).withColumn("f1", one_regressor("value", "lag1", lookback)).withColumn("f2", two_regressors("value", "lag1", "lag2", lookback - 1)).withColumn("origin", F.col("t") - 1)
+    rows = fitted(fitted(lag_long(panel, 2), "value", ["lag1"], lookback, "f1"), "value", ["lag1", "lag2"], lookback - 1, "f2").withColumn("origin", F.col("t") - 1)
     return rows.join(chosen, "origin").select("origin", "t", "series", "p_opt", F.when(F.col("p_opt") == 1, F.col("f1")).otherwise(F.col("f2")).alias("f"))
 
 

@@ -81,9 +81,10 @@ def interpolate(panel: DataFrame, mode: str = "ffill", fill: float | None = 0.0)
     if mode not in ("ffill", "linear"):
         raise ValueError(f"mode is ffill or linear, not {mode!r}")
     w = Window.partitionBy("series").orderBy("date")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("series").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)  # a running value; the frame from here on would be read anew for each row
     here = panel.withColumn("n", F.row_number().over(w)).withColumn("known", F.when(F.col("value").isNotNull(), F.struct("n", "value")))
-    here = here.withColumn("a", F.last("known", ignorenulls=True).over(back)).withColumn("b", F.first("known", ignorenulls=True).over(ahead))
+    here = here.withColumn("a", F.last("known", ignorenulls=True).over(back)).withColumn("b", F.last("known", ignorenulls=True).over(ahead))
     value = F.col("a.value")
     if mode == "linear":
         step = (F.col("b.value") - F.col("a.value")) * (F.col("n") - F.col("a.n")) / F.nullif(F.col("b.n") - F.col("a.n"), F.lit(0))
