@@ -498,36 +498,77 @@ def data_quality_report(spark, d):
     return a.select(F.lit("assets").alias("panel_name"), "*").unionByName(c.select(F.lit("confounders").alias("panel_name"), "*"))
 
 
-# Models fitted in Python workers: their values are held against plain numpy in the tests
+# Multi-series models, fitted in Python workers
+
+
+def models_sql(exogenous: bool = False) -> str:
+    """Plain VAR(X) by normal equations: sums over a window are differences of running sums, and Gauss-Jordan steps solve them.
+
+    Regressors are scaled for the sake of the sums alone; one that depends on those before it gets the weight 0. Ends in
+    fits (d, p, s: -1 for the final fit, hi, series, value, guess), errors and best.
+    """
+    units = "SELECT t, 0 AS side, series, value / stddev_pop(value) OVER (PARTITION BY series) AS z FROM panel"
+    if exogenous:
+        units += " UNION ALL SELECT p.t, 1, f.series, (f.value - avg(f.value) OVER (PARTITION BY f.series)) / stddev_pop(f.value) OVER (PARTITION BY f.series) FROM filled f JOIN (SELECT DISTINCT t, date FROM panel) p ON p.date = f.date"
+    return f"""WITH RECURSIVE {PANEL}{', ' + FILLED if exogenous else ''},
+units AS ({units}),
+target AS (SELECT t, series, value, row_number() OVER (PARTITION BY t ORDER BY series) AS o FROM panel),
+orders_ AS (SELECT CAST(unnest(range(1, {P_MAX + 1})) AS INTEGER) AS p),
+terms AS (SELECT p, u.t + k AS t, k, side, series, z FROM units u, range(1, {P_MAX + 1}) r(k), orders_ WHERE k <= p UNION ALL SELECT p, t, 0, 0, '', 1.0 FROM (SELECT DISTINCT t FROM panel), orders_),
+x AS (SELECT p, t, row_number() OVER (PARTITION BY p, t ORDER BY k, side, series) AS i, z FROM terms, size WHERE t >= p AND t < n),
+width AS (SELECT p, max(i) AS k FROM x GROUP BY p),
+joint AS (SELECT p, t, i AS j, z FROM x UNION ALL SELECT w.p, y.t, w.k + o, y.value FROM target y, width w WHERE y.t >= w.p),
+upto AS (SELECT a.p, a.t, a.i, b.j, sum(a.z * b.z) OVER (PARTITION BY a.p, a.i, b.j ORDER BY a.t) AS s FROM x a JOIN joint b ON a.p = b.p AND a.t = b.t),
+origins AS (SELECT CAST(unnest(range({L}, n - 1)) AS INTEGER) AS d FROM size),
+job AS (SELECT d, p, CAST(s AS INTEGER) AS s, d - {L} + s AS lo, d - {V} + 1 + s AS hi FROM origins, orders_, range({V}) r(s) UNION ALL SELECT d, p, -1, d - {L}, d + 1 FROM origins, orders_),
+cells_of AS (SELECT j.d, j.p, j.s, j.hi, u.i, u.j, u.s - coalesce(v.s, 0.0) AS a FROM job j JOIN upto u ON u.p = j.p AND u.t = j.hi - 1 LEFT JOIN upto v ON v.p = j.p AND v.i = u.i AND v.j = u.j AND v.t = j.lo + j.p - 1),
+rows_of AS (SELECT d, p, s, hi, i, list(a ORDER BY j) AS r FROM cells_of GROUP BY ALL),
+solve AS (
+  SELECT d, p, s, hi, 1 AS step, CAST(count(*) AS INTEGER) AS k, list(r ORDER BY i) AS m FROM rows_of GROUP BY d, p, s, hi
+  UNION ALL
+  SELECT d, p, s, hi, step + 1, k, CASE WHEN m[step][step] > 1e-9
+    THEN list_transform(m, lambda r, i: CASE WHEN i = step THEN list_transform(r, lambda v: v / m[step][step]) ELSE list_transform(r, lambda v, j: v - r[step] * m[step][j] / m[step][step]) END)
+    ELSE list_transform(m, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = step OR j = step THEN 0.0 ELSE v END)) END
+  FROM solve WHERE step <= k
+),
+at_ AS (SELECT p, t, list(z ORDER BY i) AS x FROM x GROUP BY p, t),
+fits AS (SELECT f.d, f.p, f.s, f.hi, y.series, y.value, list_dot_product(a.x, list_transform(f.m, lambda r: r[f.k + y.o])) AS guess FROM solve f JOIN at_ a ON a.p = f.p AND a.t = f.hi JOIN target y ON y.t = f.hi WHERE f.step = f.k + 1),
+errors AS (SELECT d AS origin, p, s AS shift, sqrt(avg(pow(value - guess, 2))) AS err FROM fits WHERE s >= 0 GROUP BY 1, 2, 3),
+best AS (SELECT origin, arg_min(p, (err, p)) AS p_opt, min(err) AS valid_err FROM (SELECT origin, p, avg(err) AS err FROM errors GROUP BY 1, 2) GROUP BY 1)"""
+
+
+FINAL = " SELECT CAST(d AS INTEGER) AS origin, CAST(hi AS INTEGER) AS t, series, round(guess, 6) + 0.0 AS f FROM fits JOIN best ON origin = d AND p_opt = p WHERE s = -1"
+#: The panel's values are of the order of 0.001, so that penalties that matter are small.
+ALPHAS = tuple(a * 1e-4 for a in rolling.ALPHAS)
 
 
 def named(forecasts: DataFrame) -> DataFrame:
-    return rolling.long_forecast(forecasts, NAMES)
+    return rolling.long_forecast(forecasts, NAMES).withColumn("f", rounded("f"))
 
 
-@query("var_ols")
+@query("var_ols", models_sql() + FINAL)
 def var_ols(spark, d):
     return named(rolling.var(assets(spark, d), None, SPEC, P_MAX))
 
 
-@query("var_fold_errors")
+@query("var_fold_errors", models_sql() + " SELECT origin, p, CAST(NULL AS DOUBLE) AS alpha, 0 AS place, shift, round(err, 6) + 0.0 AS err FROM errors")
 def var_fold_errors(spark, d):
-    return rolling.var_errors(assets(spark, d), None, SPEC, P_MAX)
+    return rolling.var_errors(assets(spark, d), None, SPEC, P_MAX).withColumn("err", rounded("err"))
 
 
-@query("var_best_lag")
+@query("var_best_lag", models_sql() + " SELECT origin, p_opt, CAST(NULL AS DOUBLE) AS alpha_opt, round(valid_err, 6) + 0.0 AS valid_err FROM best")
 def var_best_lag(spark, d):
-    return rolling.best(rolling.var_errors(assets(spark, d), None, SPEC, P_MAX))
+    return rolling.best(rolling.var_errors(assets(spark, d), None, SPEC, P_MAX)).withColumn("valid_err", rounded("valid_err"))
 
 
-@query("varx_ols")
+@query("varx_ols", models_sql(True) + FINAL)
 def varx_ols(spark, d):
     return named(rolling.var(*aligned(spark, d), SPEC, P_MAX))
 
 
 @query("var_lasso")
 def var_lasso(spark, d):
-    return named(rolling.var(assets(spark, d), None, SPEC, 2, "lasso", (0.00001, 0.0001)))
+    return named(rolling.var(assets(spark, d), None, SPEC, P_MAX, "lasso", ALPHAS))
 
 
 @query("or_var_ols")
@@ -550,6 +591,19 @@ def oracle_var_ols(spark, d):
     return rolling.oracle_var(*aligned(spark, d), lookback=L, p_max=4, significance=0.15, model_y="ols", model_t="ols")
 
 
+@query("oracle_var_trees")
+def oracle_var_trees(spark, d):
+    """Significance-tested lags with the default nuisance models."""
+    return rolling.oracle_var(*aligned(spark, d), lookback=L, p_max=P_MAX)
+
+
+@query("oracle_var_legacy")
+def oracle_var_legacy(spark, d):
+    """The sequential variant with an estimator of the older factory."""
+    lasso = {"alpha": 1e-6}
+    return rolling.oracle_var(*aligned(spark, d), lookback=L, p_max=P_MAX, significance=0.15, model_y="lasso", model_t="lasso", y_params=lasso, t_params=lasso, profile="legacy")
+
+
 @query("oracle_var_lag_mask")
 def oracle_var_lag_mask(spark, d):
     return rolling.lag_mask(oracle_var_ols(spark, d), 4)

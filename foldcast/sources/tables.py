@@ -75,12 +75,14 @@ def source_files(folder: str, **use: bool) -> list[str]:
 
 
 def spend_levels(spark: SparkSession, sf_dir: str, bucket: str = "week", fill: bool = True) -> DataFrame:
-    """(date, series, level): spend by order priority and week (or month); with fill, absent cells are 0."""
+    """(date, series, level): spend by order priority and week (or month); with fill, absent cells are 0, and a priority that is not in SERIES is an error."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.date_trunc(bucket, F.col("o_orderdate").cast("timestamp")).cast("date").alias("date"), F.col("o_orderpriority").alias("series"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
     cells = orders.groupBy("date", "series").agg(F.sum("price").cast("double").alias("level"))
     if not fill:
         return cells
     every = cells.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("series", "level"))).alias("have"))
+    other = F.array_except(F.map_keys("have"), F.array(*map(F.lit, SERIES)))
+    every = every.withColumn("have", F.when(F.size(other) == 0, F.col("have")).otherwise(F.raise_error(F.concat(F.lit("unknown order priorities: "), F.concat_ws(", ", other))).cast("map<string,double>")))
     return every.select("date", F.explode(F.array(*map(F.lit, SERIES))).alias("series"), "have").select("date", "series", F.coalesce(F.try_element_at("have", F.col("series")), F.lit(0.0)).alias("level"))
 
 
