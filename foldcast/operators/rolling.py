@@ -184,6 +184,21 @@ def oracle_var(assets: DataFrame, confounders: DataFrame | None, lookback: int =
     return _each_origin(assets, confounders, spec, "origin int, target_t int, p_opt int, treatment_lags array<int>, control_lags array<int>, max_confound_lag int, rank int, y_hat array<double>", work)
 
 
+def dml_coefficients(assets: DataFrame, confounders: DataFrame | None, lookback: int = 1008, p: int = 1, model_y: str = "ols", model_t: str = "ols", cv_folds: int = 5, y_params=None, t_params=None, profile: str = "core") -> DataFrame:
+    """(origin, outcome, treatment, theta, stderr) of the final stage at each origin; outcomes and treatments are numbered from 1, lag by lag."""
+    _need(confounders)
+    spec = WindowSpec(lookback, 0, 1)
+
+    def work(y, w, base, d, memo):
+        lo, hi = spec.final(d)
+        a, t, c = _design(y, w, lo + base, hi + base, p)
+        fit = LinearDml(model_y, model_t, cv_folds, y_params, t_params, profile).fit(a[:-1], t[:-1], c[:-1], inference=True)
+        for o, j in np.ndindex(fit.theta.shape):
+            yield d, o + 1, j + 1, float(fit.theta[o, j]), float(fit.stderr[o, j])
+
+    return _each_origin(assets, confounders, spec, "origin int, outcome int, treatment int, theta double, stderr double", work)
+
+
 def long_forecast(forecasts: DataFrame, series: list[str]) -> DataFrame:
     """(origin, t, series, f): a row for each series, in the order of their names."""
     names = F.array(*[F.lit(s) for s in sorted(series)])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import backtest, forecast_sql, inference, lags, panel, rolling, windows
-from ..sources import tables
+from ..sources import sinks, tables
 
 L, V, P_MAX = 52, 2, 3
 NAMES = list(tables.SERIES)
@@ -192,6 +192,32 @@ def realign_roles(spark, d):
     return round_all(lags.realign(one.select("t", F.col("value").alias("y")), lags.make_lags(one, ["y"], 1), lags.make_lags(w, ["w"], 2)))
 
 
+# Files
+
+
+@query("csv_returns_scan", f"WITH {PANEL} SELECT date, series, round(value, 6) + 0.0 AS value FROM panel")
+def csv_returns_scan(spark, d):
+    """The panel written as a wide CSV with a column a date, and read back."""
+    path = f"{sinks.scratch(spark, 'csv')}/returns.csv"
+    sinks.save_returns(assets(spark, d), path)
+    return tables.read_returns(spark, path).select("date", "series", rounded("value").alias("value"))
+
+
+@query(
+    "csv_confounder_scan",
+    f"WITH {SHIPPED} SELECT w.date, s.series, round(x.value, 6) + 0.0 AS value FROM weeks w CROSS JOIN (SELECT DISTINCT series FROM ship) s "
+    "LEFT JOIN ship x ON x.date = w.date AND x.series = s.series AND (s.series <> 'C_PRICE' OR x.date <= DATE '1999-12-31')",
+)
+def csv_confounder_scan(spark, d):
+    """Three files of confounders and one that is missing, merged on the date; C_PRICE up to a date only."""
+    ship, folder = tables.ship_confounders(spark, d), sinks.scratch(spark, "csv")
+    paths = {s: f"{folder}/{s}.csv" for s in ("C_DISC", "C_QTY", "C_PRICE")}
+    for s, path in paths.items():
+        sinks.save_confounder(ship.filter(F.col("series") == s), path)
+    read = tables.read_confounders(spark, [*paths.values(), f"{folder}/absent.csv"], until={paths["C_PRICE"]: "1999-12-31"})
+    return read.select("date", "series", rounded("value").alias("value"))
+
+
 # Windows
 
 
@@ -452,6 +478,14 @@ def performance_metrics(spark, d):
     return metric_columns(backtest.performance(swept(spark, d)))
 
 
+@query("performance_csv_sink", METRICS + f" SELECT {METRIC_COLUMNS} FROM metrics")
+def performance_csv_sink(spark, d):
+    """The performance table as it comes back from its CSV."""
+    table, folder = backtest.performance(swept(spark, d)), sinks.scratch(spark, "csv")
+    sinks.save_performance(table, folder)
+    return metric_columns(spark.read.schema(table.schema).csv(f"{folder}/performance", header=True))
+
+
 @query("best_strategy", METRICS + f" SELECT {METRIC_COLUMNS} FROM metrics WHERE s IS NOT NULL ORDER BY s DESC, strategy LIMIT 1")
 def best_strategy(spark, d):
     return metric_columns(backtest.best_strategy(backtest.performance(swept(spark, d))))
@@ -591,6 +625,40 @@ def oracle_var_ols(spark, d):
     return rolling.oracle_var(*aligned(spark, d), lookback=L, p_max=4, significance=0.15, model_y="ols", model_t="ols")
 
 
+def dml_sql(folds: int = 5) -> str:
+    """Linear double machine learning at each origin, one lag: nuisance fits by normal equations over the rows before each test block, final stage and HC1 errors from the residuals.
+
+    Five outcomes (1-5) and five treatments (6-10 of yt); the steps of Gauss-Jordan elimination are those of models_sql.
+    """
+    h = L // (folds + 1)
+    gauss = lambda m: f"CASE WHEN {m}[step][step] > 1e-9 THEN list_transform({m}, lambda r, i: CASE WHEN i = step THEN list_transform(r, lambda v: v / {m}[step][step]) ELSE list_transform(r, lambda v, j: v - r[step] * {m}[step][j] / {m}[step][step]) END) ELSE list_transform({m}, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = step OR j = step THEN 0.0 ELSE v END)) END"
+    return f"""WITH RECURSIVE {PANEL}, {FILLED},
+c AS (SELECT p.t, f.series, (f.value - avg(f.value) OVER (PARTITION BY f.series)) / stddev_pop(f.value) OVER (PARTITION BY f.series) AS z FROM filled f JOIN (SELECT DISTINCT t, date FROM panel) p ON p.date = f.date),
+x AS (SELECT t, row_number() OVER (PARTITION BY t ORDER BY series) AS i, z FROM (SELECT t + 1 AS t, series, z FROM c UNION ALL SELECT t, '', 1.0 FROM (SELECT DISTINCT t FROM panel)), size WHERE t >= 1 AND t < n),
+yt AS (SELECT t, row_number() OVER (PARTITION BY t ORDER BY side, series) AS o, v FROM (SELECT t, 0 AS side, series, value * 100 AS v FROM panel UNION ALL SELECT t + 1, 1, series, value * 100 FROM panel), size WHERE t >= 1 AND t < n),
+joint AS (SELECT t, i AS j, z FROM x UNION ALL SELECT t, 4 + o, v FROM yt),
+upto AS (SELECT a.t, a.i, b.j, sum(a.z * b.z) OVER (PARTITION BY a.i, b.j ORDER BY a.t) AS s FROM x a JOIN joint b ON a.t = b.t),
+job AS (SELECT CAST(d AS INTEGER) AS d, CAST(k AS INTEGER) AS k, d - {L} + 1 AS lo, d - {L} + 1 + {L} - ({folds} - k) * {h} AS mid FROM (SELECT unnest(range({L}, n - 1)) AS d FROM size), range({folds}) r(k)),
+entry AS (SELECT j.d, j.k, j.mid, u.i, u.j, u.s - coalesce(v.s, 0.0) AS a FROM job j JOIN upto u ON u.t = j.mid - 1 LEFT JOIN upto v ON v.i = u.i AND v.j = u.j AND v.t = j.lo - 1),
+line AS (SELECT d, k, mid, i, list(a ORDER BY j) AS r FROM entry GROUP BY ALL),
+nuisance AS (SELECT d, k, mid, 1 AS step, list(r ORDER BY i) AS m FROM line GROUP BY d, k, mid UNION ALL SELECT d, k, mid, step + 1, {gauss('m')} FROM nuisance WHERE step <= 4),
+at_x AS (SELECT t, list(z ORDER BY i) AS x FROM x GROUP BY t),
+at_y AS (SELECT t, list(v ORDER BY o) AS v FROM yt GROUP BY t),
+residual AS (SELECT n.d, a.t, list_transform(y.v, lambda v, o: v - list_dot_product(a.x, list_transform(n.m, lambda r: r[4 + o]))) AS e FROM nuisance n JOIN at_x a ON a.t >= n.mid AND a.t < n.mid + {h} JOIN at_y y ON y.t = a.t WHERE n.step = 5),
+each AS (SELECT d, t, CAST(o AS INTEGER) AS o, e[o] AS e FROM residual, range(1, 11) r(o)),
+cross_ AS (SELECT a.d, a.o - 5 AS i, CASE WHEN b.o > 5 THEN b.o - 5 ELSE b.o + 5 END AS j, sum(a.e * b.e) AS s FROM each a JOIN each b ON a.d = b.d AND a.t = b.t WHERE a.o > 5 GROUP BY 1, 2, 3),
+wide AS (SELECT d, i, list_concat(list(s ORDER BY j), list_transform(range(1, 6), lambda c: CASE WHEN c = i THEN 1.0 ELSE 0.0 END)) AS r FROM cross_ GROUP BY d, i),
+final AS (SELECT d, 1 AS step, list(r ORDER BY i) AS m FROM wide GROUP BY d UNION ALL SELECT d, step + 1, {gauss('m')} FROM final WHERE step <= 5),
+fit AS (SELECT d, CAST(o AS INTEGER) AS outcome, CAST(i AS INTEGER) AS treatment, m, m[i][5 + o] AS theta FROM final, range(1, 6) a(o), range(1, 6) b(i) WHERE step = 6),
+error AS (SELECT f.d, f.outcome, f.treatment, f.theta, pow(list_dot_product(r.e[6:10], f.m[f.treatment][11:15]) * (r.e[f.outcome] - list_dot_product(r.e[6:10], list_transform(f.m, lambda q: q[5 + f.outcome]))), 2) AS v FROM fit f JOIN residual r ON r.d = f.d)
+SELECT d AS origin, outcome, treatment, round(any_value(theta), 4) + 0.0 AS theta, round(sqrt(sum(v) * count(*) / (count(*) - 5)), 4) + 0.0 AS stderr FROM error GROUP BY 1, 2, 3"""
+
+
+@query("dml_coefficients", dml_sql())
+def dml_coefficients(spark, d):
+    return rolling.dml_coefficients(*aligned(spark, d), lookback=L).withColumns({c: rounded(c, 4) for c in ("theta", "stderr")})
+
+
 @query("oracle_var_trees")
 def oracle_var_trees(spark, d):
     """Significance-tested lags with the default nuisance models."""
