@@ -1,7 +1,8 @@
 """Rolling-origin models: plain VAR(X), OR-VAR and ORACLE-VAR.
 
-Every origin looks at a bounded stretch of rows. Origins are cut into runs of ORIGINS and each row of the panel goes to
-the runs that look at it (about lookback / ORIGINS + 1 of them); a run is one group of one Python task. Nothing is
+Every origin looks at a bounded stretch of rows. Origins are cut into runs and each row of the panel goes to the runs
+that look at it: a run is LEAST origins or lookback / COPIES, so that a row goes to about COPIES runs at most where the
+lookback is long, and runs are short where fits are many and rows few. A run is one group of one Python task. Nothing is
 broadcast and no task sees the whole panel, so runs, panels and lookbacks scale by adding tasks. Inside a task the
 fits are numpy; choice and forecast of an origin need one pass. Fold s of one origin is fold s - 1 of the next, so a run
 fits each slice once. The table of fold errors is there too, with its selection as a DataFrame aggregation.
@@ -21,7 +22,7 @@ from ..functions.estimators import regressor
 from .lags import vectors
 from .windows import WindowSpec
 
-ORIGINS = 32
+LEAST, COPIES = 8, 32
 ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0)
 
 
@@ -38,13 +39,20 @@ def mean_output_rmse(truth: np.ndarray, guess: np.ndarray) -> float:
 METRICS = {"row_rmse": row_rmse, "mean_output_rmse": mean_output_rmse}
 
 
+def run_length(spec: WindowSpec) -> int:
+    return max(LEAST, spec.lookback // COPIES)
+
+
 def _runs(assets: DataFrame, confounders: DataFrame | None, spec: WindowSpec, n: int) -> DataFrame:
     """(run, t, y, w): each row once for every run of origins that looks at it."""
     rows = vectors(assets, "y")
     rows = rows.join(vectors(confounders, "w"), "t") if confounders is not None else rows.withColumn("w", F.array().cast("array<double>"))
     first, last = F.greatest(F.lit(spec.lookback), F.col("t") - 1), F.least(F.lit(n - 2), F.col("t") + spec.lookback)
-    runs = F.when(first <= last, F.sequence(F.floor(first / ORIGINS), F.floor(last / ORIGINS)))
-    return rows.withColumn("run", F.explode(runs))
+    size = run_length(spec)
+    runs = F.when(first <= last, F.sequence(F.floor(first / size), F.floor(last / size)))
+    # A number of its own, as adaptive execution would put rows this few into one task, however long they take to fit.
+    tasks = max(1, min(-(-n // size), 4 * rows.sparkSession.sparkContext.defaultParallelism))
+    return rows.withColumn("run", F.explode(runs)).repartition(tasks, "run")
 
 
 _ARROW = {"int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
@@ -63,8 +71,8 @@ def _each_origin(assets, confounders, spec, schema: str, work: Callable[[np.ndar
         if t[-1] - t[0] + 1 != len(t):
             raise ValueError("a date is missing or repeated in the panel")
         y, w = (rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) if c == "y" or has_w else None for c in "yw")
-        first = key[0].as_py() * ORIGINS
-        for d in range(max(spec.lookback, first), min(n - 1, first + ORIGINS)):
+        first = key[0].as_py() * run_length(spec)
+        for d in range(max(spec.lookback, first), min(n - 1, first + run_length(spec))):
             out += work(y, w, -int(t[0]), d, memo)
         return pa.table([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(zip(*out) if out else [()] * len(types), types)], names=[name for name, _ in types])
 
