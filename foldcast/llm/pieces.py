@@ -93,7 +93,7 @@ def uncrowd(ws: Workspace, pieces: DataFrame, units, width: int, order: list[str
         judged = ws.save(fine.join(first, ["h", "body"]).withColumn("later", rank > F.col("first")).select(*pieces.columns, "later"), f"judged-{step}")
         ws.drop(f"fine-{step}")
         covers.append(judged.filter("later").select("d", "v", "s", (F.col("s") + F.col("n") - 1 + width).alias("e")))
-        several = first.groupBy("h").count().filter("count > 1").select("h")
+        several = ws.save(first.groupBy("h").count().filter("count > 1").select("h"), f"several-{step}")
         pieces = ws.save(judged.filter("not later").join(several, "h").select(pieces.columns), f"pieces-{step}")
     for c in calm:
         pieces = pieces.union(c)
