@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, flat_bytes, held_out, read, slices
 from .textkernel import BASES, BYTE_VALUE, Rolling
 
-ROWS, HELD, BITS, FACTORS = 5000, 1 << 25, 20, 8
+ROWS, HELD, BITS, FACTORS = 5000, 1 << 23, 20, 8
 THRESHOLD, PREFIXES, SLICE = 0.3, (4, 5, 6), 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
