@@ -28,6 +28,7 @@ BLOCKS, BUCKET, PIVOTS, HELD = 6, 4096, 16, 1_000_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = np.arange(8, dtype=np.int64) * 256
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_SPREAD = _BITS.astype(np.uint8).view(np.uint64).ravel()
 REFERENCES = np.random.default_rng(97).integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
 
 
@@ -48,6 +49,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(_WEIGHTS[(2 * counts.ravel()) > n].sum())
 
 
+def majority(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bits set in over half of the 64-bit hashes of each set; the sets stand one after another, begin at ``starts``, and none is empty."""
+    sizes = np.diff(np.append(starts, len(h)))
+    runs = -(-sizes // 255)  # one byte counts the ones of a bit over 255 hashes
+    first = np.cumsum(runs) - runs
+    at = np.repeat(starts, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
+    ones = np.add.reduceat(_SPREAD[h.view(np.uint8).reshape(-1, 8)], at)
+    counts = np.add.reduceat(ones.view(np.uint8).reshape(-1, 64), first, dtype=np.int64)
+    return (2 * counts > sizes[:, None]) @ _WEIGHTS
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id_col, fp long) for every row; a null text counts as empty."""
     kind = docs.schema[id_col].dataType.simpleString()

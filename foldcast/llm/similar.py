@@ -1,12 +1,18 @@
-"""Near copies by the Jaccard similarity of their word shingles.
+"""Near copies by SimHash with pivot distance tables and the Jaccard similarity of their word shingles.
 
 1. A text is the set of 64-bit hashes of its runs of WORDS words; equal sets become one class, named by a hash of the set.
-2. The least values of BANDS x ROWS hash functions over the set give BANDS keys. Two sets of similarity s share a key with
-   probability 1 - (1 - s**ROWS)**BANDS, over 1 - 5e-8 from 0.8 on; only classes that share a key are compared.
-3. Every class is compared with the least class of each of its buckets. Buckets whose classes are not all connected by
-   then go to Python tasks, which compare whatever is still apart; buckets over BUCKET classes are cut into chunks and
-   every pair of chunks becomes a task of its own. No bucket is capped. All links are verified on the sets themselves.
-4. Components over those links.
+   A class has the 64-bit majority fingerprint of its set, so repeats in a text do not weigh.
+2. Fingerprints within NEAR bits meet in the bit blocks of ``simhash.links``, whose pivot tables discard the other pairs.
+3. Links of 0.8 mostly lie over NEAR bits apart, so most pairs come from bands: the least values of BANDS x ROWS hash functions over the set give
+   BANDS keys, more buckets beside those of the bit blocks. Two sets of similarity s share a key with probability
+   1 - (1 - s**ROWS)**BANDS, over 1 - 5e-8 from 0.8 on. Every class is compared with the least class of each of its
+   buckets. Buckets whose classes are not all connected by then go to Python tasks, which compare whatever is still
+   apart; buckets over BUCKET classes are cut into chunks and every pair of chunks becomes a task of its own. No bucket
+   is capped.
+4. Of all these pairs those whose fingerprints differ in over RADIUS bits are discarded, the others are verified on the
+   sets themselves. Fingerprints of sets of similarity 0.8 differ in 64 * acos(8 / 9) / pi = 9.7 bits on average, in 12 for
+   sets of 4 and 5, the worst case; the odds of over RADIUS are 4e-10 and 7e-8 (binomial).
+5. Components over those links.
 """
 
 from __future__ import annotations
@@ -19,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import Workspace, slices
 from .components import components
 from .textkernel import BASES, Rolling, Words, mixed
 
 WORDS, BANDS, ROWS, BUCKET = 5, 32, 4, 1024
+NEAR, RADIUS = 3, 30
 _random = np.random.default_rng(2004)
 _TIMES = _random.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _random.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64)
@@ -67,7 +75,7 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def _signed(texts: DataFrame) -> DataFrame:
-    """(i, x, k, bands) of (i, x, t): the class and the band keys, none for a text without words."""
+    """(i, x, k, fp, bands) of (i, x, t): the class, its fingerprint, null for a text without words, and the band keys, none for such a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -77,25 +85,41 @@ def _signed(texts: DataFrame) -> DataFrame:
                 keys = band_keys(h, offsets[:-1][some]) if some.any() else np.zeros((0, BANDS), np.uint64)
                 k = np.array([xxhash.xxh3_64_intdigest(h[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])], np.uint64)
                 bands = _lists(keys.ravel(), np.concatenate([[0], np.cumsum(some * BANDS)]))
-                yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("x"), pa.array(k.view(np.int64)), bands], names=["i", "x", "k", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("x"), pa.array(k.view(np.int64)), _fingerprints(h, offsets), bands], names=["i", "x", "k", "fp", "bands"])
 
-    return texts.select("i", "x", "t").mapInArrow(run, "i long, x long, k long, bands array<long>")
+    return texts.select("i", "x", "t").mapInArrow(run, "i long, x long, k long, fp long, bands array<long>")
+
+
+def _fingerprints(h: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    some, fps = np.diff(offsets) > 0, np.zeros(len(offsets) - 1, np.uint64)
+    if some.any():
+        fps[some] = simhash.majority(h, offsets[:-1][some])
+    return pa.array(fps.view(np.int64), mask=~some)
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(k, s) of (k, t): the shingle set of each text."""
+    """(k, fp, s) of (k, t): the fingerprint and the shingle set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "t", 1 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column("k"), _lists(*shingle_sets(batch.column("t")))], names=["k", "s"])
+                h, offsets = shingle_sets(batch.column("t"))
+                yield pa.RecordBatch.from_arrays([batch.column("k"), _fingerprints(h, offsets), _lists(h, offsets)], names=["k", "fp", "s"])
 
-    return texts.select("k", "t").mapInArrow(run, "k long, s array<long>")
+    return texts.select("k", "t").mapInArrow(run, "k long, fp long, s array<long>")
+
+
+def _close(ws: Workspace, classes: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes that span the groups of fingerprints within NEAR bits; to be verified."""
+    known = classes.filter("fp is not null")
+    reps = ws.save(known.groupBy("fp").agg(F.min("k").alias("rep")), "reps")
+    equal = known.join(reps, "fp").filter("k != rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))
+    return equal.union(simhash.links(ws, reps, NEAR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def group_links(root: np.ndarray, sizes: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (row numbers) that join the rows of one bucket as far as their sets are near; rows of one root are joined already."""
-    n = len(sizes)
+    n, fps = len(sizes), simhash.majority(shingles, np.cumsum(sizes) - sizes)
     _, label, counts = np.unique(root, return_inverse=True, return_counts=True)
     owner, order = np.repeat(np.arange(n), sizes), np.argsort(shingles, kind="stable")
     held, ranked = owner[order], shingles[order]
@@ -104,7 +128,7 @@ def group_links(root: np.ndarray, sizes: np.ndarray, shingles: np.ndarray) -> tu
         mine = shingles[ends[i] : ends[i + 1]]
         lo, hi = np.searchsorted(ranked, mine), np.searchsorted(ranked, mine, side="right")
         shared = np.bincount(np.concatenate([held[p:q] for p, q in zip(lo.tolist(), hi.tolist())]), minlength=n)
-        found = np.flatnonzero(near(shared, sizes, sizes[i]) & (label != label[i]))
+        found = np.flatnonzero((np.bitwise_count(fps ^ fps[i]) <= RADIUS) & near(shared, sizes, sizes[i]) & (label != label[i]))
         if len(found):
             other, first = np.unique(label[found], return_index=True)
             a += [i] * len(first)
@@ -147,7 +171,7 @@ def _open_links(ws: Workspace, members: DataFrame, roots: DataFrame, sets: DataF
         if parts:
             yield linked(parts)
 
-    dealt = cut.join(sets, "k").select("task", "k", "root", "s").repartition("task").sortWithinPartitions("task")
+    dealt = cut.join(sets.select("k", "s"), "k").select("task", "k", "root", "s").repartition("task").sortWithinPartitions("task")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -169,14 +193,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared = ws.save(keyed.groupBy("bucket").agg(F.min("k").alias("centre"), F.max("k").alias("last"), F.count("k").alias("n")).filter("centre < last").drop("last"), "shared")
     members = ws.save(keyed.join(shared, "bucket").select("bucket", "k", "centre", "n"), "members")
     ws.release()
-    need = classes.select("k", "i", "x").join(members.select("k").distinct(), "k", "left_semi")
+    close = ws.save(_close(ws, classes), "close")
+    ws.drop("reps", "large")
+    ws.release()
+    need = classes.select("k", "i", "x").join(members.select("k").union(close.select("a")).union(close.select("b")).distinct(), "k", "left_semi")
     sets = ws.save(_sets(texts.join(need.hint("merge"), ["i", "x"])), "sets")
     ws.release()
-    pairs = members.filter("k != centre").select(F.col("centre").alias("a"), F.col("k").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    pairs = members.filter("k != centre").select(F.col("centre").alias("a"), F.col("k").alias("b")).union(close).distinct()
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("fp").alias("fa"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("fp").alias("fb"), F.col("s").alias("sb")), "b")
+    both = both.filter(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= RADIUS)
     star = ws.save(both.filter(near(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b"), "star")
     rest = ws.save(_open_links(ws, members, components(ws, star, "star-cc"), sets), "rest")
-    ws.drop("members", "shared", "placed", "sets")
+    ws.drop("members", "shared", "close", "placed", "sets")
     ws.release()
     roots = components(ws, star.union(rest))
     rooted = classes.join(roots, F.col("k") == F.col("node"), "left").select("k", F.struct("i", "x").alias("m"), F.coalesce("root", "k").alias("root"))

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from foldcast.llm import similar
+from foldcast.llm import simhash, similar
 
 from .test_simhash import roots
 
@@ -95,3 +97,55 @@ def test_one_row_of_repeated_ones_stays(spark):
     assert out.columns == docs.columns
     want = [(3, text, "a"), (3, "quite another text of its own", "z"), (9, None, "n"), (None, text, "x"), (None, text, "x")]
     assert sorted([tuple(r) for r in out.collect()], key=str) == sorted(want, key=str)
+
+
+def prints(texts):
+    h, offsets = similar.shingle_sets(pa.array(texts))
+    return simhash.majority(h, offsets[:-1])
+
+
+def test_majority_equals_plain_counts():
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 254, 255, 256, 511, 1500, 3]
+    h, starts = rng.integers(0, 1 << 64, sum(sizes), dtype=np.uint64), np.cumsum(sizes) - sizes
+    want = [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h[a : a + n].tolist()) > n) for a, n in zip(starts, sizes)]
+    assert simhash.majority(h, starts).tolist() == want
+
+
+def test_fingerprints_link_where_no_band_is_shared(spark, monkeypatch):
+    """Without shared bands all links come from the fingerprints; those of unlike sets are refused."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(10):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+        rows += [(3 * g + i, " ".join(edited(words, at))) for i, at in enumerate(([], [40], [900, 2000]))]
+    short = [f"p q r s t{i} u v" for i in range(20000)]
+    apart = np.bitwise_count(prints(short) ^ prints([f"{t} x" for t in short]))
+    a = short[int(apart.argmin())]
+    assert apart.min() <= similar.NEAR and jaccard(shingles(a), shingles(f"{a} x")) == 3 / 4
+    rows += [(50, a), (51, f"{a} x")]
+    fps = prints([t for _, t in rows])
+    links = [(i, j) for i in range(30) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= similar.NEAR]
+    want = sorted({*roots(range(30), links).values(), 50, 51})
+    assert len(want) < 20
+    whole = similar._signed
+    monkeypatch.setattr(similar, "_signed", lambda texts: whole(texts).withColumn("bands", F.array(F.xxhash64("i", "x"))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stage = pytest.importorskip("corpus_pipeline").drop_near_copies
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == want
+
+
+def test_links_keep_to_the_radius(monkeypatch):
+    """Sets at 0.8 lie within RADIUS bits; a pair beyond the radius is no link."""
+    rng = np.random.default_rng(7)
+    for a, b, shared in ((4, 5, 4), (9, 9, 8), (90, 90, 80)):
+        assert similar.near(shared, a, b)
+        h = rng.integers(0, 1 << 64, (3000, a + b - shared), dtype=np.uint64)
+        first, second = (simhash.majority(np.ascontiguousarray(x).ravel(), np.arange(3000) * x.shape[1]) for x in (h[:, :a], h[:, -b:]))
+        assert 8 < np.bitwise_count(first ^ second).mean() < 13 and np.bitwise_count(first ^ second).max() <= similar.RADIUS
+    h = rng.integers(0, 1 << 63, 20)
+    args = np.array([1, 2]), np.array([19, 19]), np.concatenate([h[:19], h[1:]])
+    assert [len(x) for x in similar.group_links(*args)] == [1, 1]
+    monkeypatch.setattr(similar, "RADIUS", 0)
+    assert simhash.majority(h[:19], np.array([0])) != simhash.majority(h[1:], np.array([0]))
+    assert [len(x) for x in similar.group_links(*args)] == [0, 0]
