@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, read, slices
+from .common import KEPT, flat_bytes, read, slices, worker
 from .textkernel import BASES, BYTE_VALUE, Rolling
 
 #: Fixed value: the published pre-tokenisation pattern of byte-level BPE.
@@ -256,14 +256,12 @@ def _valid(x: bytes) -> bool:
     return True
 
 
-_CODERS: dict[str, Coder] = {}
-
-
 def coder(path: str) -> Coder:
-    """One coder for each worker process and file."""
-    if path not in _CODERS:
-        _CODERS[path] = Coder(path)
-    return _CODERS[path]
+    """One coder for each worker process and file, until a task of another operator comes."""
+    coders = KEPT.setdefault("bpe", {})
+    if path not in coders:
+        coders[path] = Coder(path)
+    return coders[path]
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True) -> DataFrame:
@@ -279,14 +277,14 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(tokenizer)
         for whole in batches:
-            for batch in slices(whole, "t", 2 << 20):
+            for batch in slices(whole, "t", 1 << 20):
                 ids, cuts = c.encode_batch(batch.column("t"))
                 columns = [batch.column("i"), pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(ids))]
                 if decoded:
                     columns.append(pa.array([c.decode(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["i", "ids", "decoded"][: len(columns)])
 
-    out = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"i {kind}, ids array<int>" + ", decoded string" * decoded)
+    out = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(worker("bpe", run), f"i {kind}, ids array<int>" + ", decoded string" * decoded)
     return out.withColumnRenamed("i", id_col)
 
 

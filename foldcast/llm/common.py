@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,43 @@ def identified(ws: Workspace, docs: DataFrame, id_col: str, text_col: str) -> tu
     return marked.select("d", "v", "t"), each, not again.filter("many").isEmpty()
 
 
+#: What operators keep in a worker process from one task to the next, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def only(owner: str) -> None:
+    """Drop what operators other than ``owner`` keep in this process."""
+    others = [name for name in KEPT if name != owner]
+    for name in others:
+        del KEPT[name]
+    if others:
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Return free memory of this process to the system; Arrow's pool and glibc hold on to most of it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def worker(owner: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, without what other operators keep in the worker process and without free memory left behind.
+
+    A worker serves one task after another, of any operator, and counts in its executor's memory all the while.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the text of each piece has at most ``most`` bytes (a longer text gets a piece of its own)."""
     n = batch.num_rows

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import Workspace, slices
+from .common import Workspace, slices, worker
 from .components import components
 from .textkernel import BASES, Rolling, Words, mixed
 
@@ -87,7 +87,7 @@ def _signed(texts: DataFrame) -> DataFrame:
                 bands = _lists(keys.ravel(), np.concatenate([[0], np.cumsum(some * BANDS)]))
                 yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("x"), pa.array(k.view(np.int64)), _fingerprints(h, offsets), bands], names=["i", "x", "k", "fp", "bands"])
 
-    return texts.select("i", "x", "t").mapInArrow(run, "i long, x long, k long, fp long, bands array<long>")
+    return texts.select("i", "x", "t").mapInArrow(worker("similar", run), "i long, x long, k long, fp long, bands array<long>")
 
 
 def _fingerprints(h: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -106,7 +106,7 @@ def _sets(texts: DataFrame) -> DataFrame:
                 h, offsets = shingle_sets(batch.column("t"))
                 yield pa.RecordBatch.from_arrays([batch.column("k"), _fingerprints(h, offsets), _lists(h, offsets)], names=["k", "fp", "s"])
 
-    return texts.select("k", "t").mapInArrow(run, "k long, fp long, s array<long>")
+    return texts.select("k", "t").mapInArrow(worker("similar", run), "k long, fp long, s array<long>")
 
 
 def _close(ws: Workspace, classes: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def _open_links(ws: Workspace, members: DataFrame, roots: DataFrame, sets: DataF
             yield linked(parts)
 
     dealt = cut.join(sets.select("k", "s"), "k").select("task", "k", "root", "s").repartition("task").sortWithinPartitions("task")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(worker("similar", run), "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +197,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ws.drop("reps", "large")
     ws.release()
     need = classes.select("k", "i", "x").join(members.select("k").union(close.select("a")).union(close.select("b")).distinct(), "k", "left_semi")
-    sets = ws.save(_sets(texts.join(need.hint("merge"), ["i", "x"])), "sets")
+    sets = ws.save(_sets(texts.join(need.hint("shuffle_hash"), ["i", "x"])), "sets")
     ws.release()
     pairs = members.filter("k != centre").select(F.col("centre").alias("a"), F.col("k").alias("b")).union(close).distinct()
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("fp").alias("fa"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("fp").alias("fb"), F.col("s").alias("sb")), "b")
@@ -214,7 +214,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     again = ws.save(rows.groupBy(F.col("i").alias("__i"), F.col("x").alias("__x")).count().filter("count > 1").drop("count"), "again")
     ws.drop("rows", "classes", "kept")
     at = lambda other: (F.col(id_col).cast("long") == other["__i"]) & (F.xxhash64(text) == other["__x"])
-    stay = docs.join(gone.hint("merge"), at(gone), "left_anti")
+    stay = docs.join(gone.hint("shuffle_hash"), at(gone), "left_anti")
     if again.isEmpty():
         return stay
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, flat_bytes, held_out, read, slices
+from .common import Workspace, flat_bytes, held_out, read, slices, worker
 from .textkernel import BASES, BYTE_VALUE, Rolling
 
 ROWS, HELD, BITS, FACTORS = 5000, 1 << 23, 20, 8
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("y"), pa.ListArray.from_arrays(ends, pa.array(bucket.astype(np.int32)))], names=["o", "y", "terms"])
 
-    rows = ws.save(texts.mapInArrow(entries, "o long, y int, terms array<int>"), "rows")
+    rows = ws.save(texts.mapInArrow(worker("toxicity", entries), "o long, y int, terms array<int>"), "rows")
     sizes = rows.select("o", F.size("terms").alias("n")).toPandas().sort_values("o")
     last = sizes.o[sizes.n.cumsum() <= HELD].max() if len(sizes) else 0
     table = rows.filter(F.col("o") <= F.lit(int(last))).toArrow().sort_by("o")
@@ -207,7 +207,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFram
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
     schema = StructType([*docs.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(worker("toxicity", run), schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

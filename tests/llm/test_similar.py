@@ -1,11 +1,13 @@
+import gc
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foldcast.llm import simhash, similar
+from foldcast.llm import bpe, simhash, similar, toxicity
 
 from .test_simhash import roots
 
@@ -149,3 +151,44 @@ def test_links_keep_to_the_radius(monkeypatch):
     monkeypatch.setattr(similar, "RADIUS", 0)
     assert simhash.majority(h[:19], np.array([0])) != simhash.majority(h[1:], np.array([0]))
     assert [len(x) for x in similar.group_links(*args)] == [0, 0]
+
+
+class Plan:
+    """A frame that gives the function it is asked to map."""
+
+    def __init__(self, *fields):
+        self.schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
+        self.columns = list(fields)
+
+    def drop(self, *names):
+        return self
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_worker_holds_nothing_of_the_operator_before(monkeypatch):
+    """The vocabulary of bpe, tables of some hundred MB in each worker, goes when a task of another stage begins; its own tasks share it."""
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    coders = lambda: sum(isinstance(x, bpe.Coder) for x in gc.get_objects())
+    machine = toxicity.Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, toxicity.FACTORS)))
+    gc.collect()
+    before = coders()
+    for run, columns in ((similar._sets(Plan()), {"k": [1], "t": ["a b"]}), (similar._signed(Plan()), {"i": [1], "x": [2], "t": ["a b"]}), (toxicity.score(Plan("text"), machine), {"text": ["a b"]})):
+        kept = bpe.coder(path) is bpe.coder(path)
+        assert kept and coders() == before + 1
+        assert sum(b.num_rows for b in run(iter([pa.RecordBatch.from_pydict(columns)]))) == 1
+        gc.collect()
+        assert coders() == before
+
+
+def test_whole_rows_are_not_sorted(spark):
+    """The rows that go are looked up in a table of their keys, so neither rows nor texts fill a sort."""
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, None)], "doc_id long, text string").repartition(3)
+    out = similar.keep_one(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
